@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import digest_of, drop_materialised, materialise, words_of
 
-BANDS, ROWS = 30, 5
+BANDS, ROWS = 21, 4
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,25 +43,27 @@ def word_hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
+class WordHashes(dict):
+    """Word -> 64-bit hash, computed when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        v = self[word] = word_hash(word)
+        return v
+
+
 class Shingler:
     """Texts to arrays of 64-bit shingle hashes; remembers word hashes up to a bound."""
 
-    def __init__(self, width: int, most_words: int = 500_000):
-        self.width, self.most, self.memo = width, most_words, {}
+    def __init__(self, width: int, most_words: int = 400_000):
+        self.width, self.most, self.memo = width, most_words, WordHashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = words_of(text)
         if not words:
             return np.zeros(0, np.uint64)
-        memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
-        h = np.empty(len(words), np.uint64)
-        for i, w in enumerate(words):
-            v = memo.get(w)
-            if v is None:
-                v = memo[w] = word_hash(w)
-            h[i] = v
+        if len(self.memo) > self.most:
+            self.memo.clear()
+        h = np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
         n = max(1, len(h) - self.width + 1)
         out = np.zeros(n, np.uint64)
         for j in range(min(self.width, len(h))):
@@ -78,53 +80,58 @@ def unit(x: np.ndarray) -> np.ndarray:
     return ((x >> np.uint64(11)).astype(np.float64) + 1.0) * (1.0 / (1 << 53))
 
 
+def processes(s: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The Poisson processes a bag sees: key, rate and the weight up to which points count, by dyadic interval
+    [0, 1), [1, 2), [2, 4), ... of the multiplicity."""
+    keys, rates, limits = [mix(s + _M2)], [np.ones(len(s))], [np.ones(len(s))]
+    low = 1
+    while (on := w > low).any():
+        part = s[on]
+        keys.append(mix(part + np.uint64((low.bit_length() + 1) * int(_M2) % (1 << 64))))
+        rates.append(np.full(len(part), float(low)))
+        limits.append(np.minimum(w[on] - low, low).astype(float))
+        low *= 2
+    return np.concatenate(keys), np.concatenate(rates), np.concatenate(limits)
+
+
 def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
     """len(bags) x m point identities (uint64).  Rows of empty bags stay 0."""
-    best = np.full((len(bags), m), np.inf)
-    ident = np.zeros((len(bags), m), np.uint64)
+    best = np.full(len(bags) * m, np.inf)
+    ident = np.zeros(len(bags) * m, np.uint64)
     todo = [i for i, (s, _) in enumerate(bags) if len(s)]
-    slack = math.log(m) + 6.0
+    slack = math.log(m) + 2.0  # a register stays empty with probability exp(-2) / m; then the horizon is doubled
     while todo:
-        keys, rates, limits, owner, until = [], [], [], [], []
-        for i in todo:
-            s, w = bags[i]
-            horizon = m * slack / float(w.sum())
-            levels = int(w.max() - 1).bit_length() if w.max() > 1 else 0
-            for level in range(levels + 1):  # interval 0 is [0, 1), interval j is [2^(j-1), 2^j)
-                low = 0 if level == 0 else 1 << (level - 1)
-                on = w > low
-                part = s[on] if level else s
-                width = 1 if level == 0 else 1 << (level - 1)
-                key = mix(part + np.uint64((level + 1) * int(_M2) % (1 << 64)))
-                keys.append(key)
-                rates.append(np.full(len(key), float(width)))
-                limits.append((w[on] if level else w) - low)
-                owner.append(np.full(len(key), i))
-                until.append(np.full(len(key), horizon))
-        key, rate, limit = np.concatenate(keys), np.concatenate(rates), np.concatenate(limits).astype(float)
-        who, end, time, step = np.concatenate(owner), np.concatenate(until), np.zeros(len(key)), 0
-        pi, pt, pr, pk = [], [], [], []
-        while len(key):
+        seen = [processes(*bags[i]) for i in todo]
+        size = np.array([len(k) for k, _, _ in seen])
+        key = np.concatenate([k for k, _, _ in seen])
+        rate = np.concatenate([r for _, r, _ in seen])
+        limit = np.concatenate([x for _, _, x in seen])
+        base = np.repeat(np.array(todo) * m, size)
+        end = np.repeat(np.array([m * slack / float(bags[i][1].sum()) for i in todo]), size)
+        at, time = np.arange(len(key)), np.zeros(len(key))
+        plain = bool((rate == 1).all())
+        points = []
+        while len(at):
             key = mix(key + _GOLD)
-            time = time - np.log(unit(key)) / rate
-            live = time < end
-            key, rate, limit, who, end, time = (a[live] for a in (key, rate, limit, who, end, time))
+            step = np.log(unit(key))
+            time = time - (step if plain else step / rate[at])
+            live = np.flatnonzero(time < end[at])
+            key, at, time = key[live], at[live], time[live]
             two = mix(key ^ _M1)
-            low = (two & np.uint64(0xFFFFFFFF)).astype(np.float64) * (1.0 / (1 << 32))
-            seen = low * rate < limit  # its weight position lies under the multiplicity
-            pi.append(who[seen])
-            pt.append(time[seen])
-            pr.append(((two[seen] >> np.uint64(32)) % np.uint64(m)).astype(np.int64))
-            pk.append(key[seen])
-            step += 1
-        slot = np.concatenate(pi) * m + np.concatenate(pr)
-        time, key = np.concatenate(pt), np.concatenate(pk)
-        order = np.lexsort((key, time))[::-1]  # the earliest is written last
-        best.reshape(-1)[slot[order]] = time[order]
-        ident.reshape(-1)[slot[order]] = key[order]
-        todo = [i for i in todo if np.isinf(best[i]).any()]
+            slot = base[at] + ((two >> np.uint64(32)) % np.uint64(m)).astype(np.int64)
+            if plain:
+                points.append((slot, time, key))
+            else:  # only points whose weight position lies under the multiplicity
+                ok = np.flatnonzero((two & np.uint64(0xFFFFFFFF)).astype(np.float64) * (1.0 / (1 << 32)) * rate[at] < limit[at])
+                points.append((slot[ok], time[ok], key[ok]))
+        slot, time, key = (np.concatenate(c) for c in zip(*points, strict=True))
+        np.minimum.at(best, slot, time)
+        first = time == best[slot]
+        ident[slot[first]] = key[first]
+        rows = best.reshape(len(bags), m)
+        todo = [i for i in todo if np.isinf(rows[i]).any()]
         slack *= 2
-    return ident
+    return ident.reshape(len(bags), m)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -206,7 +213,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     Texts without words are linked to equal texts only, null and empty texts to none.  A null
     doc_id stays null and forms no smallest id unless all ids of the class are null.  Repeated rows stay
     repeated.  Other columns are ignored.  A pair at the threshold is missed by the bands with probability
-    (1 - threshold^rows)^bands, 7e-6 here.
+    (1 - threshold^rows)^bands, 2e-5 here.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), digest_of(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
     light = base.select("doc_id", "node", (F.coalesce(F.length("text"), F.lit(0)) == 0).alias("blank"))

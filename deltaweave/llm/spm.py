@@ -12,6 +12,7 @@ distinct word is matched once in a worker, whose memory of words is bounded.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 PRETOKEN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Words over this length are contracted one by one, shorter ones side by side.
+LONG = 48
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -51,7 +54,7 @@ class Vocabulary:
 
 
 class Matcher:
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 300_000, batch_chars: int = 400_000):
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 500_000, batch_chars: int = 400_000):
         self.v, self.most, self.batch = vocabulary, most_words, batch_chars
         self.memo: dict[str, list[int]] = {}
         codes = sorted({c for i in vocabulary.ids for c in vocabulary.pieces[i]})
@@ -63,6 +66,11 @@ class Matcher:
             p = vocabulary.pieces[i]
             table[row, : len(p)] = [self.symbol[c] for c in p]
         filled = np.arange(width) < self.length[:, None]
+        self.plain = ["" if i in vocabulary.special else p for i, p in enumerate(vocabulary.pieces)]
+        for b, i in vocabulary.bytes.items():
+            self.plain[i] = chr(b)
+        self.plain[vocabulary.unk] = " ⁇ "
+        self.high_bytes = {i for b, i in vocabulary.bytes.items() if b > 127}
         self.low = self.keys(table)
         self.high = self.keys(np.where(filled, table, 65_024))
 
@@ -113,10 +121,45 @@ class Matcher:
 
     def encode_words(self, words: list[str]) -> None:
         """Adds the ids of new words to the memory."""
-        at, length, piece, starts = self.edges(words)
-        relax = self.relax_bpe if self.v.kind == "bpe" else self.relax_unigram
-        for w, ids in zip(words, relax(words, at, length, piece, starts), strict=True):
-            self.memo[w] = ids
+        if self.v.kind == "bpe":
+            long = [w for w in words if len(w) > LONG]
+            words = [w for w in words if len(w) <= LONG]
+            for w in long:
+                self.memo[w] = self.relax_bpe_long(w, *self.edges([w])[:3])
+        if words:
+            at, length, piece, starts = self.edges(words)
+            relax = self.relax_bpe if self.v.kind == "bpe" else self.relax_unigram
+            self.memo.update(zip(words, relax(words, at, length, piece, starts), strict=True))
+
+    def relax_bpe_long(self, word: str, at, length, piece) -> list[int]:
+        """One long word: its contractions wait in a heap, best score first, leftmost among equals."""
+        n, scores = len(word), self.v.scores
+        edge = {(int(a), int(a + k)): int(p) for a, k, p in zip(at, length, piece, strict=True)}
+        right, left = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(-scores[edge[i, i + 2]], i, i + 1, i + 2) for i in range(n - 1) if (i, i + 2) in edge]
+        heapq.heapify(heap)
+
+        def offer(a: int) -> None:
+            b = right[a]
+            if b < n and (a, right[b]) in edge:
+                heapq.heappush(heap, (-scores[edge[a, right[b]]], a, b, right[b]))
+
+        alive = [True] * n
+        while heap:
+            _, a, b, e = heapq.heappop(heap)
+            if alive[a] and right[a] == b and alive[b] and right[b] == e:
+                right[a], alive[b] = e, False
+                if e < n:
+                    left[e] = a
+                offer(a)
+                if left[a] >= 0:
+                    offer(left[a])
+        ids, a = [], 0
+        while a < n:
+            e = right[a]
+            ids += [edge[a, e]] if (a, e) in edge else self.fallback(word[a:e])
+            a = e
+        return ids
 
     def fallback(self, char: str) -> list[int]:
         if self.v.bytes:
@@ -248,23 +291,21 @@ class Matcher:
 
     def decode(self, ids) -> str:
         """The text of ids: runs of byte pieces are UTF-8, spaces are restored, the first one is dropped."""
-        out: list[str] = []
-        run = bytearray()
-        for i in ids:
-            b = self.v.byte_of.get(int(i))
-            if b is not None:
-                run.append(b)
-                continue
-            if run:
-                out.append(run.decode("utf-8", "replace"))
-                run = bytearray()
-            if int(i) == self.v.unk:
-                out.append(" ⁇ ")
-            elif int(i) not in self.v.special:
-                out.append(self.v.pieces[int(i)])
-        if run:
-            out.append(run.decode("utf-8", "replace"))
-        text = "".join(out)
+        if self.high_bytes.isdisjoint(ids):
+            text = "".join(map(self.plain.__getitem__, ids))
+        else:
+            out: list[str] = []
+            run = bytearray()
+            for i in ids:
+                b = self.v.byte_of.get(i)
+                if b is not None:
+                    run.append(b)
+                    continue
+                if run:
+                    out.append(run.decode("utf-8", "replace"))
+                    run = bytearray()
+                out.append(self.plain[i])
+            text = "".join(out) + run.decode("utf-8", "replace")
         return (text[1:] if text.startswith(SPACE) else text).replace(SPACE, " ")
 
 
@@ -312,6 +353,6 @@ def decode(encoded: DataFrame, model: str = DEFAULT_MODEL, ids_col: str = "ids",
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = matcher(model)
         for s in parts:
-            yield pd.Series([None if x is None else m.decode(x) for x in s], dtype=object)
+            yield pd.Series([None if x is None else m.decode(list(x)) for x in s], dtype=object)
 
     return encoded.withColumn(text_col, run(ids_col))

@@ -13,6 +13,7 @@ One row in four only calibrates.  Scoring is one pass over all texts without a s
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -61,49 +62,66 @@ def stems(words: set[str]) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in PREFIXES if len(w) > k}
 
 
-def features(text: str | None, learned: dict[str, float]) -> list[float]:
+@functools.cache
+def classes() -> np.ndarray:
+    """For each character of the basic plane: 1 letter, 2 capital letter, 3 neither letter, digit, underscore nor space."""
+    out = np.zeros(0x10000, np.uint8)
+    for i in range(0x10000):
+        c = chr(i)
+        if c.isalpha():
+            out[i] = 2 if c.isupper() else 1
+        elif not (c.isalnum() or c.isspace() or c == "_"):
+            out[i] = 3
+    return out
+
+
+class Known(dict):
+    """token -> (fixed, learned weight, weight of the beginning, obfuscated, second person), or None if nothing holds."""
+
+    def __init__(self, learned: dict[str, float]):
+        self.learned = learned
+
+    def __missing__(self, token: str):
+        odd = not token.isalpha() and any(map(str.isalpha, token))
+        w = undone(token) if odd else token
+        get = self.learned.get
+        found = (w in LEXICON, get(w, 0.0), max((get(w[:k] + "*", 0.0) for k in PREFIXES if len(w) > k), default=0.0), odd, w in SECOND)
+        v = self[token] = found if any(found) else None
+        return v
+
+
+def features(text: str | None, known: Known) -> list[float]:
     text = text or ""
     raw = TOKEN.findall(text.lower())
     n = len(raw)
     if not n:
         return [0.0] * 6 + [99.0] + [0.0] * 7
-    odd = 0
-    words = raw
-    if not text.isalpha():
-        words = []
-        for w in raw:
-            if not w.isalpha():
-                if any(c.isalpha() for c in w):
-                    odd += 1
-                w = undone(w)
-            words.append(w)
-    fixed = [i for i, w in enumerate(words) if w in LEXICON]
-    hits, strength, starts, start_strength = set(fixed), 0.0, 0, 0.0
-    n_learned = 0
-    if learned:
-        memo: dict[str, tuple[float, float]] = {}
-        for i, w in enumerate(words):
-            s = memo.get(w)
-            if s is None:
-                own = learned.get(w, 0.0)
-                s = memo[w] = (own, max((learned.get(w[:k] + "*", 0.0) for k in PREFIXES if len(w) > k), default=0.0))
-            if s[0]:
-                n_learned += 1
-                strength += s[0]
-                hits.add(i)
-            if s[1]:
-                starts += 1
-                start_strength += s[1]
-                hits.add(i)
-    second = [i for i, w in enumerate(words) if w in SECOND]
+    if len(known) > 400_000:
+        known.clear()
+    fixed = learned = starts = odd = 0
+    weight = start_weight = 0.0
+    hits, second = [], []
+    for i, k in enumerate(map(known.__getitem__, raw)):
+        if k:
+            fixed += k[0]
+            learned += k[1] > 0
+            weight += k[1]
+            starts += k[2] > 0
+            start_weight += k[2]
+            odd += k[3]
+            if k[4]:
+                second.append(i)
+            if k[0] or k[1] or k[2]:
+                hits.append(i)
     near = 99.0
     if hits and second:
-        a = np.array(second)
-        near = float(min(min(np.abs(a - h).min() for h in hits), 99))
-    letters = sum(map(str.isalpha, text)) or 1
-    capitals = sum(map(str.isupper, text))
-    marks = len(re.findall(r"[^\w\s]", text))
-    return [len(fixed), len(fixed) / n, n_learned, strength / n, starts, start_strength / n, near, len(second) / n, capitals / letters, marks / len(text), text.count("!") / n, odd / n, float(np.log1p(n)), float(bool(hits))]
+        a, b = np.array(hits), np.array(second)
+        p = np.searchsorted(b, a)
+        near = float(min(np.abs(b[np.minimum(p, len(b) - 1)] - a).min(), np.abs(b[np.maximum(p - 1, 0)] - a).min(), 99))
+    points = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
+    count = np.bincount(classes()[points], minlength=4)
+    letters = max(int(count[1] + count[2]), 1)
+    return [fixed, fixed / n, learned, weight / n, starts, start_weight / n, near, len(second) / n, count[2] / letters, count[3] / len(text), text.count("!") / n, odd / n, float(np.log1p(n)), float(bool(hits))]
 
 
 def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
@@ -158,11 +176,15 @@ class Model:
     def __init__(self, learned, base, trees, knots):
         self.learned, self.base, self.trees, self.knots = learned, base, trees, knots
 
+    @functools.cached_property
+    def known(self) -> Known:
+        return Known(self.learned)
+
     def score(self, texts) -> np.ndarray:
         texts = list(texts)
         if not texts:
             return np.zeros(0)
-        x = np.array([features(t, self.learned) for t in texts], dtype=float)
+        x = np.array([features(t, self.known) for t in texts], dtype=float)
         return np.clip(np.interp(gbt.margin(self.base, self.trees, x), *self.knots), 0.0, 1.0)
 
 
@@ -173,9 +195,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     zero, one, both = learn_terms(rows)
 
     def dense(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        other = Known(one), Known(zero)  # the lexicon of the other fold
         for b in batches:
-            # the lexicon of the other fold
-            x = [features(t, zero if int(i) % 2 else one) for i, t in zip(b.doc_id, b.text, strict=True)]
+            x = [features(t, other[int(i) % 2]) for i, t in zip(b.doc_id, b.text, strict=True)]
             yield pd.DataFrame({"doc_id": b.doc_id, "y": b.y, "x": x})
 
     got = rows.mapInPandas(dense, "doc_id long, y double, x array<double>").toPandas().sort_values("doc_id", kind="stable")
