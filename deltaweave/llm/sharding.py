@@ -20,6 +20,8 @@ from .common import materialise
 
 OVERHEAD = 16
 HOT_ID = 1024
+#: Bucket offsets up to this count are broadcast (under 32 MB); more are joined by shuffle.
+BROADCAST_BUCKETS = 1_000_000
 
 
 def size_of(text: Column) -> Column:
@@ -57,6 +59,8 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 7, bucket_bytes: int =
     counts = written.groupBy("__bucket").count()  # one row a bucket, read from one small column
     before = W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select(F.col("__bucket"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"), F.sum("count").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("__n"))
+    if counts.count() <= BROADCAST_BUCKETS:
+        offsets = F.broadcast(offsets)  # else the texts would be shuffled once more
     placed = written.join(offsets, "__bucket").withColumn("__place", F.col("__base") + F.col("__pos"))
     number = F.expr(f"cast(__place * {shards} div __n as int)")
     placed = placed.withColumn("shard", number).withColumn("slot", F.expr(f"__place - (shard * __n + {shards - 1}) div {shards}"))
