@@ -132,7 +132,7 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, distance, start, end): the best occurrence of each item in each text, if it has
     at most floor(rate * length) edits.  start and end count characters of the normal text; end is exact, start is within
     `distance` characters.
@@ -164,7 +164,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, bloc
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without the rows whose text has an item of the benchmark, in one pass without a shuffle; other rows stay as they are."""
-    rate, block_chars = how.get("rate", 0.05), how.get("block_chars", BLOCK_CHARS)
+    rate, block_chars = how.get("rate", 0.08), how.get("block_chars", BLOCK_CHARS)
     text_col = how.get("text_col", "text")
     spark = docs.sparkSession
     for block in blocks(benchmark, "item_id", "text", block_chars):
