@@ -7,9 +7,11 @@ register with probability equal to their weighted Jaccard similarity.  Times bey
 each register has a point, so long texts draw few points beside one per shingle.
 
 Registers are banded; texts that share a band are candidates, and a link needs a verified multiset overlap of the
-shingles.  Buckets are not expanded into pairs: rounds compare growing numbers of centres with
-the members of their bucket that are not yet in the centre's component, until a bucket is one component or
-all its members were centres.  So components are those of all verified links between candidates.
+shingles.  Buckets are not expanded into pairs: each round compares one centre of a bucket, the member that shares most buckets
+with others, with the members that are not yet in the centre's component.  Buckets of up to `SMALL` members
+go on until they are one component or all were centres, so no link is lost there.  Larger buckets end after
+`HUB_ROUNDS` rounds: their cost is linear, and a link between two texts there is lost if, in all buckets they
+share, neither was a hub and no chain of links to hubs joins them.
 Components come from label propagation with shortcuts, cut by files in the shared folder.
 """
 
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import digest_of, drop_materialised, materialise, words_of
 
 BANDS, ROWS = 21, 4
+SMALL, HUB_ROUNDS = 32, 6
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -248,21 +251,28 @@ def link_members(members: DataFrame, base: DataFrame, threshold: float, width: i
     wanted = members.select("node").distinct()
     texts = base.select("node", "text").join(wanted, "node", "left_semi")
     bags = materialise(texts.mapInPandas(to_bags, "node binary, hashes binary, counts binary").dropDuplicates(["node"]), "bags")
-    links, roots, number, tried = None, None, 1, None
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n0"))
+    sized = members.join(sizes, "bucket")
+    degree = sized.groupBy("node").agg(F.sum("n0").alias("deg"))
+    members = materialise(sized.join(degree, "node"), "bag-members")
+    links, roots, number, tried, rounds = None, None, 1, None, 0
     while True:
         now = members
         if roots is None:
             now = now.withColumn("root", F.col("node"))
         else:
             now = now.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        if rounds >= HUB_ROUNDS:
+            now = now.where(F.col("n0") <= SMALL)
+        rounds += 1
         # buckets with at least two components
-        split = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("first"), F.count("*").alias("n")).where("lo != hi")
+        split = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("node", F.struct("deg", "node")).alias("first"), F.count("*").alias("n")).where("lo != hi")
         if not split.take(1):
             break
         now = materialise(now.join(split.select("bucket", "first", "n"), "bucket"), "bag-round")
-        # this round's centres: the smallest, and later about `number` members chosen by hash
+        # this round's centres: the hub, and in small buckets later about `number` members chosen by hash
         chance = F.pmod(F.xxhash64("node", F.lit(number)), F.greatest(F.col("n"), F.lit(1)))
-        centre = now.where((F.col("node") == F.col("first")) | (chance < number - 1)).select("bucket", F.col("node").alias("c"), F.col("root").alias("cr"))
+        centre = now.where((F.col("node") == F.col("first")) | ((F.col("n0") <= SMALL) & (chance < number - 1))).select("bucket", F.col("node").alias("c"), F.col("root").alias("cr"))
         pairs = now.join(centre, "bucket").where("root != cr").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -273,7 +283,7 @@ def link_members(members: DataFrame, base: DataFrame, threshold: float, width: i
             roots = materialise(components(links), "bag-roots")
         tried = pairs if tried is None else tried.unionByName(pairs)
         # who was compared with all others of the bucket leaves it
-        members = materialise(now.join(centre.select("bucket", F.col("c").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node"), "bag-members")
+        members = materialise(now.join(centre.select("bucket", F.col("c").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n0", "deg"), "bag-members")
         drop_materialised(now)
         number *= 2
     return roots
