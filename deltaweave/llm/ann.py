@@ -75,11 +75,11 @@ def rests(r: np.ndarray) -> np.ndarray:
     return np.sqrt(squares)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, nprobe: int = 24, list_rows: int = 256, sample_rows: int = 20_000, max_lists: int = 4096, sigma: float = 3.0, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, nprobe: int = 24, probe_share: float = 0.6, list_rows: int = 256, sample_rows: int = 20_000, max_lists: int = 4096, sigma: float = 3.0, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `queries` the k rows of `vectors` with another id
     and the largest inner product that were found; ties go to the smaller id.
 
-    Rows that clean() leaves out take no part.  Lists are probed in order of centroid score, `nprobe` of them or as many as
+    Rows that clean() leaves out take no part.  Lists are probed in order of centroid score, `nprobe` or `probe_share` of them, or as many as
     hold k + 1 classes.  A query's vector may be repeated in any number of rows.  An
     empty table gives an empty result; other columns are ignored.
     """
@@ -124,7 +124,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, nprobe: int = 2
                 # maximal inner product within a list: by the centroid's inner product
                 order = np.argsort(-(center @ v), kind="stable")
                 order = order[count[order] > 0]
-                need = max(nprobe, int(np.searchsorted(count[order].cumsum(), k + 1)) + 1)
+                need = max(nprobe, int(np.ceil(probe_share * len(count))), int(np.searchsorted(count[order].cumsum(), k + 1)) + 1)
                 out += [(qid, v, int(i), c) for i in order[:need] for c in range(int(chunks[i]))]
             yield pd.DataFrame(out, columns=["qid", "v", "list", "chunk"])
 
