@@ -7,11 +7,15 @@ register with probability equal to their weighted Jaccard similarity.  Times bey
 each register has a point, so long texts draw few points beside one per shingle.
 
 Registers are banded; texts that share a band are candidates, and a link needs a verified multiset overlap of the
-shingles.  Buckets are not expanded into pairs: each round compares one centre of a bucket, the member that shares most buckets
-with others, with the members that are not yet in the centre's component.  Buckets of up to `SMALL` members
-go on until they are one component or all were centres, so no link is lost there.  Larger buckets end after
-`HUB_ROUNDS` rounds: their cost is linear, and a link between two texts there is lost if, in all buckets they
-share, neither was a hub and no chain of links to hubs joins them.
+shingles.  Buckets are not expanded into pairs: each round compares some centres of a bucket with the members that
+are not yet in the centre's component, first the member that shares most buckets with others, then eight times as many members
+in each further round.  A centre that met all others leaves its bucket.  A bucket ends when it is one component or all were
+centres, so no link between components is lost, however large the bucket.  Three exact bounds spare comparisons.  The smaller
+multiset must reach the threshold times the larger.  One minus the weighted Jaccard similarity is a metric, so the
+similarities of both texts to the bucket's first centre may differ by one minus the threshold at most.  And large buckets that
+`HUB_ROUNDS` rounds leave in several components (texts around one common passage, say) are dealt anew by prefix tokens:
+linked texts share a shingle among the rarest of both, about a fifth of each text, and from the first of these shingles on
+either text still holds the overlap that the two totals ask for.
 Components come from label propagation with shortcuts, cut by files in the shared folder.
 """
 
@@ -28,7 +32,9 @@ from pyspark.sql import functions as F
 from .common import digest_of, drop_materialised, materialise, words_of
 
 BANDS, ROWS = 21, 4
-SMALL, HUB_ROUNDS = 32, 6
+SMALL, HUB_ROUNDS = 32, 1
+#: Counters of shingle frequency, which only order shingles; a bound of what is sent to the driver and back.
+COUNTERS = 1 << 20
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -190,22 +196,22 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap by `threshold`."""
+def measured(pairs: DataFrame, bags: DataFrame) -> DataFrame:
+    """The pairs (a, b) with the overlap `s` of their multisets."""
     left = bags.select(F.col("node").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca"))
     right = bags.select(F.col("node").alias("b"), F.col("hashes").alias("hb"), F.col("counts").alias("cb"))
-    # sizes alone rule many out: the smaller must reach threshold times the larger
     met = pairs.join(left, "a").join(right, "b")
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def read(h, c):
-            return np.frombuffer(h, np.uint64), np.frombuffer(c, np.int32)
+            shingles = np.frombuffer(h, np.uint64)
+            return shingles, np.frombuffer(c, np.int32) if len(c) else np.ones(len(shingles), np.int32)
 
         for t in batches:
-            ok = [similarity(read(p, q), read(r, s)) >= threshold for p, q, r, s in zip(t.ha, t.ca, t.hb, t.cb, strict=True)]
-            yield t.loc[np.array(ok, bool), ["a", "b"]]
+            s = [similarity(read(p, q), read(r, s)) for p, q, r, s in zip(t.ha, t.ca, t.hb, t.cb, strict=True)]
+            yield pd.DataFrame({"a": t.a, "b": t.b, "s": np.array(s, float)})
 
-    return met.select("a", "b", "ha", "ca", "hb", "cb").mapInPandas(check, "a binary, b binary")
+    return met.select("a", "b", "ha", "ca", "hb", "cb").mapInPandas(measure, "a binary, b binary, s double")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,6 +232,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     keyed = keyed.select("node", F.xxhash64("band", "h").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("bucket")
     members = materialise(keyed.join(shared, "bucket"), "bag-members")
+    drop_materialised(sig)
     roots = None
     if members.take(1):
         roots = link_members(members, base, threshold, width)
@@ -240,52 +247,103 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     return out.select("doc_id", F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
+def prefix_tokens(nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, node, left): the rare shingles of each node's bag of which two bags that overlap by the threshold share one,
+    and the weight of the bag from there on.
+
+    Shingles are ordered by their counter's frequency in these bags, then by hash.  The first common shingle of two linked bags
+    has the whole overlap from it onwards, at least the threshold times either total."""
+    mine = materialise(bags.join(nodes, "node", "left_semi"), "bag-large")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n = np.zeros(COUNTERS, np.int64)
+        for t in batches:
+            for h in t.hashes:
+                np.add.at(n, (np.frombuffer(h, np.uint64) % np.uint64(COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(n)
+        yield pd.DataFrame({"slot": at, "n": n[at]})
+
+    counted = mine.select("hashes").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros(COUNTERS, np.int64)
+    n[counted.slot] = counted.n
+    often = mine.sparkSession.sparkContext.broadcast(n)
+
+    def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            for node, h, c in zip(t.node, t.hashes, t.counts, strict=True):
+                h = np.frombuffer(h, np.uint64)
+                w = np.frombuffer(c, np.int32).astype(np.int64) if len(c) else np.ones(len(h), np.int64)
+                order = np.lexsort((h, often.value[(h % np.uint64(COUNTERS)).astype(np.int64)]))
+                w = w[order]
+                left = w[::-1].cumsum()[::-1]
+                keep = left >= (threshold - 1e-9) * w.sum()
+                yield pd.DataFrame({"bucket": h[order][keep].view(np.int64), "node": [node] * int(keep.sum()), "left": left[keep]})
+
+    return mine.mapInPandas(tokens, "bucket long, node binary, left long")
+
+
 def link_members(members: DataFrame, base: DataFrame, threshold: float, width: int) -> DataFrame | None:
     """Rounds of centres; (node, root) of the linked nodes, None without links."""
     def to_bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(width)
         for b in batches:
             bags = [bag(shingle(t)) for t in b.text]
-            yield pd.DataFrame({"node": b.node, "hashes": [s.tobytes() for s, _ in bags], "counts": [w.astype(np.int32).tobytes() for _, w in bags]})
+            counts = [w.astype(np.int32).tobytes() if (w > 1).any() else b"" for _, w in bags]  # none: all are 1
+            yield pd.DataFrame({"node": b.node, "hashes": [s.tobytes() for s, _ in bags], "counts": counts, "total": [int(w.sum()) for _, w in bags]})
 
     wanted = members.select("node").distinct()
-    texts = base.select("node", "text").join(wanted, "node", "left_semi")
-    bags = materialise(texts.mapInPandas(to_bags, "node binary, hashes binary, counts binary").dropDuplicates(["node"]), "bags")
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n0"))
-    sized = members.join(sizes, "bucket")
-    degree = sized.groupBy("node").agg(F.sum("n0").alias("deg"))
-    members = materialise(sized.join(degree, "node"), "bag-members")
+    texts = base.select("node", "text").dropDuplicates(["node"]).join(wanted, "node", "left_semi")
+    bags = materialise(texts.mapInPandas(to_bags, "node binary, hashes binary, counts binary, total long"), "bags")
+    first = members
+    sized = members.join(members.groupBy("bucket").agg(F.count("*").alias("n0")), "bucket")
+    about = sized.groupBy("node").agg(F.sum("n0").alias("deg")).join(bags.select("node", "total"), "node")
+    members = materialise(sized.join(about, "node").withColumn("left", F.col("total")).withColumn("p", F.lit(None).cast("double")), "bag-members")
+    drop_materialised(first)
     links, roots, number, tried, rounds = None, None, 1, None, 0
     while True:
+        if rounds == HUB_ROUNDS:
+            large = members.where(F.col("n0") > SMALL).select("node").distinct()
+            if large.take(1):
+                dealt = prefix_tokens(large, bags, threshold).join(members.select("node", "deg", "total").distinct(), "node")
+                dealt = dealt.select("bucket", "node", F.lit(0).cast("long").alias("n0"), "deg", "total", "left", F.lit(None).cast("double").alias("p"))
+                members = materialise(members.where(F.col("n0") <= SMALL).unionByName(dealt), "bag-members")
+        rounds += 1
         now = members
         if roots is None:
             now = now.withColumn("root", F.col("node"))
         else:
             now = now.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if rounds >= HUB_ROUNDS:
-            now = now.where(F.col("n0") <= SMALL)
-        rounds += 1
         # buckets with at least two components
         split = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("node", F.struct("deg", "node")).alias("first"), F.count("*").alias("n")).where("lo != hi")
-        if not split.take(1):
-            break
         now = materialise(now.join(split.select("bucket", "first", "n"), "bucket"), "bag-round")
-        # this round's centres: the hub, and in small buckets later about `number` members chosen by hash
-        chance = F.pmod(F.xxhash64("node", F.lit(number)), F.greatest(F.col("n"), F.lit(1)))
-        centre = now.where((F.col("node") == F.col("first")) | ((F.col("n0") <= SMALL) & (chance < number - 1))).select("bucket", F.col("node").alias("c"), F.col("root").alias("cr"))
-        pairs = now.join(centre, "bucket").where("root != cr").select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
+        drop_materialised(members)
+        if not now.take(1):
+            break
+        # this round's centres: the hub, and later about `number` members chosen by hash
+        chance = F.pmod(F.xxhash64("node", F.lit(number)), F.col("n"))
+        centre = now.where((F.col("node") == F.col("first")) | (chance < number - 1)).select("bucket", F.col("node").alias("c"), F.col("root").alias("cr"), F.col("total").alias("ct"), F.col("left").alias("cl"), F.col("p").alias("cp"))
+        overlap = F.least("left", "cl") >= (F.col("total") + F.col("ct")) * (threshold / (1 + threshold) - 1e-9)
+        reachable = overlap & (F.least("total", "ct") >= F.greatest("total", "ct") * (threshold - 1e-9)) & (F.coalesce(F.abs(F.col("p") - F.col("cp")), F.lit(0.0)) <= 1 - threshold + 1e-9)
+        pairs = now.join(centre, "bucket").where("root != cr").where(reachable).select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "bag-pairs")
-        found = materialise(verified(pairs, bags, threshold), "bag-links")
+        seen = materialise(measured(pairs, bags), "bag-pairs")
+        found = seen.where(F.col("s") >= threshold).select("a", "b")
         if found.take(1):
             links = found if links is None else links.unionByName(found)
-            roots = materialise(components(links), "bag-roots")
-        tried = pairs if tried is None else tried.unionByName(pairs)
+            before, roots = roots, materialise(components(links), "bag-roots")
+            if before is not None:
+                drop_materialised(before)
         # who was compared with all others of the bucket leaves it
-        members = materialise(now.join(centre.select("bucket", F.col("c").alias("node")), ["bucket", "node"], "left_anti").select("bucket", "node", "n0", "deg"), "bag-members")
+        rest = now.join(centre.select("bucket", F.col("c").alias("node")), ["bucket", "node"], "left_anti")
+        if tried is None:  # the pivot's similarities
+            pivot = seen.select("a", "b", "s")
+            rest = rest.withColumns({"a": F.least("node", "first"), "b": F.greatest("node", "first")}).drop("p").join(pivot, ["a", "b"], "left").withColumnRenamed("s", "p")
+        members = materialise(rest.select("bucket", "node", "n0", "deg", "total", "left", "p"), "bag-members")
+        tried = seen.select("a", "b") if tried is None else tried.unionByName(seen.select("a", "b"))
         drop_materialised(now)
-        number *= 2
+        number *= 8
+    drop_materialised(bags)
     return roots
 
 
