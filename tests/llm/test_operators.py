@@ -152,6 +152,27 @@ def test_neardup_against_all_pairs(spark):
     assert [got[i] for i in range(len(texts))] == classes_by_force(texts)
 
 
+def test_neardup_large_buckets_lose_no_link(spark, monkeypatch):
+    """Over 32 texts around one passage share buckets; most links are between texts that are no hub."""
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    passage = [str(w) for w in rng.choice(vocabulary, 160)]
+    texts = []
+    for i in range(90):
+        own = [str(w) for w in rng.choice(vocabulary, 40)]
+        texts.append(" ".join(passage + own))
+        if i % 3 == 0:
+            texts.append(" ".join(passage + [*own[:34], *map(str, rng.choice(vocabulary, 6))]))
+        if i % 9 == 0:  # a link with repeated shingles
+            texts.append(" ".join(passage + own + own[:12]))
+    seen, dealt = [], neardup.prefix_tokens
+    monkeypatch.setattr(neardup, "prefix_tokens", lambda *a: seen.append(1) or dealt(*a))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs_of(spark, texts)).collect()}
+    want = classes_by_force(texts)
+    assert seen and 1 < len(set(want)) < len(texts)
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_bagminhash_is_unbiased():
     rng = np.random.default_rng(1)
     keys = rng.integers(0, 2**63, 300, dtype=np.uint64)
