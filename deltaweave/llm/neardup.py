@@ -170,7 +170,7 @@ def banded(batches: Iterator[pd.DataFrame], width: int, bands: int, rows: int) -
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for all nodes of edges (a, b): root is the component's smallest node.
 
-    Alternating large-star and small-star steps; each step's edges are files in the shared folder.  Neighbour lists are
+    Alternating large-star and small-star steps; the edges after both are files in the shared folder.  Neighbour lists are
     never gathered: a step is a minimum by node and a join.
     """
     def sides(e: DataFrame) -> DataFrame:
@@ -180,16 +180,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         both = sides(edges)
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        large = materialise(large, "cc-large")
-        down = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").repartition("a").distinct()
+        down = large.groupBy("a").agg(F.min("b").alias("m"))  # dealt by a already, as is the join
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
         new = materialise(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct(), "cc")
-        # a star forest: no node is both a child and a parent, each child has one parent
-        unsettled = new.select("a").intersect(new.select("b")).limit(1).unionByName(new.groupBy("a").count().where("count > 1").select("a").limit(1)).take(1)
-        drop_materialised(large)
         drop_materialised(edges)
         edges = new
+        # a star forest: no node is both a child and a parent, each child has one parent
+        role = lambda c, n: F.struct(F.col(c).alias("u"), F.lit(n).alias("child"), F.lit(1 - n).alias("parent"))
+        ends = edges.select(F.explode(F.array(role("a", 1), role("b", 0))).alias("x")).groupBy("x.u").agg(F.sum("x.child").alias("child"), F.max("x.parent").alias("parent"))
+        unsettled = ends.agg(F.count_if(F.col("child") + F.col("parent") > 1)).first()[0]
         if not unsettled:
             roots = edges.select("b").distinct()
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
@@ -299,7 +299,7 @@ def link_members(members: DataFrame, base: DataFrame, threshold: float, width: i
     about = sized.groupBy("node").agg(F.sum("n0").alias("deg")).join(bags.select("node", "total"), "node")
     members = materialise(sized.join(about, "node").withColumn("left", F.col("total")).withColumn("p", F.lit(None).cast("double")), "bag-members")
     drop_materialised(first)
-    links, roots, number, tried, rounds = None, None, 1, None, 0
+    roots, number, tried, rounds = None, 1, None, 0
     while True:
         if rounds == HUB_ROUNDS:
             large = members.where(F.col("n0") > SMALL).select("node").distinct()
@@ -330,7 +330,8 @@ def link_members(members: DataFrame, base: DataFrame, threshold: float, width: i
         seen = materialise(measured(pairs, bags), "bag-pairs")
         found = seen.where(F.col("s") >= threshold).select("a", "b")
         if found.take(1):
-            links = found if links is None else links.unionByName(found)
+            # earlier links are in the roots, which are a star forest already
+            links = found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
             before, roots = roots, materialise(components(links), "bag-roots")
             if before is not None:
                 drop_materialised(before)
