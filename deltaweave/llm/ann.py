@@ -6,7 +6,8 @@ centroids (k-means on a bounded sample); a list is cut into chunks of bounded si
 is many tasks' work.  Vectors are rotated by a random orthogonal matrix and scanned in blocks of columns: after
 each block a candidate is abandoned when its partial inner product plus `sigma` standard deviations of what the
 rest can still add (|q rest| |x rest| / sqrt(dimensions left), the spread of an inner product in random
-directions) stays under the current k-th best.  Whoever survives is scored in double precision on the original vectors.
+directions) stays under the current k-th best.  A query's first lists are scanned before its others, which begin
+with the k-th best found there and give no row below it.  Whoever survives is scored in double precision on the original vectors.
 """
 
 from __future__ import annotations
@@ -49,11 +50,12 @@ def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def scan(q: np.ndarray, qr: np.ndarray, q_rest: np.ndarray, x: np.ndarray, xr: np.ndarray, x_rest: np.ndarray, k: int, sigma: float) -> tuple[np.ndarray, np.ndarray]:
-    """The k best rows of x for one query and their exact scores.  qr, xr: rotated; *_rest[:, b]: norm of what follows block b."""
+def scan(q: np.ndarray, qr: np.ndarray, q_rest: np.ndarray, x: np.ndarray, xr: np.ndarray, x_rest: np.ndarray, k: int, sigma: float, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """The k best rows of x for one query, as far as they reach `least`, and their exact scores.  qr, xr: rotated; *_rest[:, b]: norm of what follows block b."""
     dims, n = xr.shape[1], len(xr)
     first = x[: 2 * k] @ q  # a threshold to begin with
     bar = np.partition(first, len(first) - k)[len(first) - k] if len(first) >= k else -np.inf
+    bar = max(bar, least)
     alive, partial = np.arange(n), np.zeros(n)
     for b, at in enumerate(range(0, dims, BLOCK)):
         end = min(at + BLOCK, dims)
@@ -66,7 +68,9 @@ def scan(q: np.ndarray, qr: np.ndarray, q_rest: np.ndarray, x: np.ndarray, xr: n
     if len(alive) > 4 * k:  # rotated sums are right up to rounding: only the best need exact scores
         cut = np.partition(partial, len(partial) - k)[len(partial) - k]
         alive = alive[partial >= cut - 1e-6 * max(1.0, abs(cut))]
-    return alive, np.array([np.dot(x[i], q) for i in alive])
+    score = np.array([np.dot(x[i], q) for i in alive], float)
+    ok = score >= least - 1e-12 * abs(least) if np.isfinite(least) else np.ones(len(alive), bool)
+    return alive[ok], score[ok]
 
 
 def rests(r: np.ndarray) -> np.ndarray:
@@ -125,10 +129,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, nprobe: int = 2
                 order = np.argsort(-(center @ v), kind="stable")
                 order = order[count[order] > 0]
                 need = max(nprobe, int(np.ceil(probe_share * len(count))), int(np.searchsorted(count[order].cumsum(), k + 1)) + 1)
-                out += [(qid, v, int(i), c) for i in order[:need] for c in range(int(chunks[i]))]
-            yield pd.DataFrame(out, columns=["qid", "v", "list", "chunk"])
+                early = max(nprobe, int(np.searchsorted(count[order].cumsum(), k + 1)) + 1)
+                out += [(qid, v, int(i), c, j < early) for j, i in enumerate(order[:need]) for c in range(int(chunks[i]))]
+            yield pd.DataFrame(out, columns=["qid", "v", "list", "chunk", "early"])
 
-    probes = q.mapInPandas(probe, "qid long, v array<double>, list int, chunk int")
+    probes = materialise(q.mapInPandas(probe, "qid long, v array<double>, list int, chunk int, early boolean"), "ann-probes")
     size_of = F.element_at(F.array(*(F.lit(int(c)) for c in -(-count // CHUNK_ROWS))), F.col("list") + 1) if nlist <= 4096 else None
     listed = listed.withColumn("chunk", F.pmod(F.xxhash64("cid"), F.greatest(size_of, F.lit(1))).cast("int"))
 
@@ -145,16 +150,28 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, nprobe: int = 2
         qrest = rests(qr)
         out_q, out_c, out_s = [], [], []
         for i, qid in enumerate(left.qid):
-            alive, s = scan(qs[i], qr[i], qrest[i], x, xr, xrest, k + 1, sigma)
+            alive, s = scan(qs[i], qr[i], qrest[i], x, xr, xrest, k + 1, sigma, left.least.iloc[i])
             best = np.lexsort((cid[alive], -s))[: k + 1]
             out_q.append(np.full(len(best), qid))
             out_c.append(cid[alive][best])
             out_s.append(s[best])
         return pd.DataFrame({"qid": np.concatenate(out_q), "cid": np.concatenate(out_c), "score": np.concatenate(out_s)})
 
-    found = probes.groupBy("list", "chunk").cogroup(listed.select("list", "chunk", "cid", "v").groupBy("list", "chunk")).applyInPandas(search, "qid long, cid long, score double")
-    # k + 1 classes suffice; their members, k + 1 each at most, are ranked for each query row
-    best = found.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.col("score").desc(), "cid"))).where(F.col("r") <= k + 1)
+    def scanned(part: DataFrame) -> DataFrame:
+        """The k + 1 best classes of each query in these lists; k + 1 suffice, as their members are ranked for each query row."""
+        chunk = listed.select("list", "chunk", "cid", "v").groupBy("list", "chunk")
+        found = part.select("qid", "v", "list", "chunk", "least").groupBy("list", "chunk").cogroup(chunk).applyInPandas(search, "qid long, cid long, score double")
+        return best_of(found)
+
+    def best_of(found: DataFrame) -> DataFrame:
+        return found.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.col("score").desc(), "cid"))).where(F.col("r") <= k + 1)
+
+    best = materialise(scanned(probes.where("early").withColumn("least", F.lit(float("-inf")))), "ann-first")
+    later = probes.where("not early")
+    if later.take(1):
+        least = best.where(F.col("r") == k + 1).select("qid", F.col("score").alias("least"))
+        later = later.join(least, "qid", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        best = best_of(best.drop("r").unionByName(scanned(later).drop("r")))
     members = best.join(listed.select("cid", "ids"), "cid").select("qid", "score", F.explode("ids").alias("vec_id"))
     members = members.withColumn("r", F.row_number().over(W.partitionBy("qid").orderBy(F.col("score").desc(), "vec_id"))).where(F.col("r") <= k + 1)
     lists = members.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("near"))
