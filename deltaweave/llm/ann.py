@@ -4,9 +4,9 @@ adaptively.
 Equal vectors form one class, which is searched once.  Classes are dealt to the nearest of `nlist`
 centroids (k-means on a bounded sample); a list is cut into chunks of bounded size, so that a long list
 is many tasks' work.  Vectors are rotated by a random orthogonal matrix and scanned in blocks of columns: after
-each block a candidate is abandoned when its partial inner product plus `sigma` standard deviations of what the
-rest can still add (|q rest| |x rest| / sqrt(dimensions left), the spread of an inner product in random
-directions) stays under the current k-th best.  A query's first lists are scanned before its others, which begin
+each block a candidate is abandoned when its partial inner product plus the most that the rest can still add
+(|q rest| |x rest|, by Cauchy and Schwarz) stays under the current k-th best, so that no true neighbour in a
+probed list is lost.  A query's first lists are scanned before its others, which begin
 with the k-th best found there and give no row below it.  Whoever survives is scored in double precision on the original vectors.
 """
 
@@ -50,24 +50,24 @@ def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
     return c
 
 
-def scan(q: np.ndarray, qr: np.ndarray, q_rest: np.ndarray, x: np.ndarray, xr: np.ndarray, x_rest: np.ndarray, k: int, sigma: float, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+def scan(q: np.ndarray, qr: np.ndarray, q_rest: np.ndarray, x: np.ndarray, xr: np.ndarray, x_rest: np.ndarray, k: int, least: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
     """The k best rows of x for one query, as far as they reach `least`, and their exact scores.  qr, xr: rotated; *_rest[:, b]: norm of what follows block b."""
     dims, n = xr.shape[1], len(xr)
     first = x[: 2 * k] @ q  # a threshold to begin with
     bar = np.partition(first, len(first) - k)[len(first) - k] if len(first) >= k else -np.inf
     bar = max(bar, least)
+    slack = 1e-9 * (1.0 + np.linalg.norm(qr) * np.sqrt((xr**2).sum(1).max(initial=0.0)))  # rounding of rotated sums
     alive, partial = np.arange(n), np.zeros(n)
     for b, at in enumerate(range(0, dims, BLOCK)):
         end = min(at + BLOCK, dims)
         partial = partial + xr[alive, at:end] @ qr[at:end] if len(alive) < n else partial + xr[:, at:end] @ qr[at:end]
         if end < dims and bar > -np.inf:
-            most = partial + sigma / np.sqrt(dims - end) * q_rest[b] * x_rest[alive, b]
-            keep = most >= bar - 1e-9
+            keep = partial + q_rest[b] * x_rest[alive, b] >= bar - slack
             if not keep.all():
                 alive, partial = alive[keep], partial[keep]
     if len(alive) > 4 * k:  # rotated sums are right up to rounding: only the best need exact scores
         cut = np.partition(partial, len(partial) - k)[len(partial) - k]
-        alive = alive[partial >= cut - 1e-6 * max(1.0, abs(cut))]
+        alive = alive[partial >= cut - max(slack, 1e-6 * max(1.0, abs(cut)))]
     score = np.array([np.dot(x[i], q) for i in alive], float)
     ok = score >= least - 1e-12 * abs(least) if np.isfinite(least) else np.ones(len(alive), bool)
     return alive[ok], score[ok]
@@ -79,7 +79,7 @@ def rests(r: np.ndarray) -> np.ndarray:
     return np.sqrt(squares)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, nprobe: int = 24, probe_share: float = 0.6, list_rows: int = 256, sample_rows: int = 20_000, max_lists: int = 4096, sigma: float = 3.0, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, nprobe: int = 24, probe_share: float = 0.6, list_rows: int = 256, sample_rows: int = 20_000, max_lists: int = 4096, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of `queries` the k rows of `vectors` with another id
     and the largest inner product that were found; ties go to the smaller id.
 
@@ -150,7 +150,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, nprobe: int = 2
         qrest = rests(qr)
         out_q, out_c, out_s = [], [], []
         for i, qid in enumerate(left.qid):
-            alive, s = scan(qs[i], qr[i], qrest[i], x, xr, xrest, k + 1, sigma, left.least.iloc[i])
+            alive, s = scan(qs[i], qr[i], qrest[i], x, xr, xrest, k + 1, left.least.iloc[i])
             best = np.lexsort((cid[alive], -s))[: k + 1]
             out_q.append(np.full(len(best), qid))
             out_c.append(cid[alive][best])

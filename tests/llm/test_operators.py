@@ -112,6 +112,20 @@ def test_ann_few_rows(spark):
     assert ann.nearest(d.limit(0), d).count() == 0 and ann.nearest(d, d.limit(0)).count() == 0
 
 
+def test_ann_scan_loses_no_neighbour():
+    """Random, clustered and off-centre vectors: the scan of a list equals brute force, whatever bar it starts from."""
+    rng = np.random.default_rng(4)
+    turn = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    around = rng.standard_normal((20, 64))
+    for x in (rng.standard_normal((3000, 64)), around[rng.integers(0, 20, 3000)] + 0.3 * rng.standard_normal((3000, 64)), 5 + rng.standard_normal((3000, 64))):
+        xr = x @ turn
+        for q in x[:40]:
+            want = np.sort(x @ q)[::-1][:21]
+            for least in (-np.inf, want[20] - 1e-9):
+                alive, score = ann.scan(q, q @ turn, ann.rests((q @ turn)[None])[0], x, xr, ann.rests(xr), 21, least=least)
+                assert np.allclose(np.sort(score)[::-1][:21], want) and len(set(alive)) == len(alive)
+
+
 # ---------------------------------------------------------------- near duplicates
 def classes_by_force(texts, threshold=0.8):
     def shingles(t):
