@@ -23,14 +23,24 @@ MALE = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "господин",
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "госпожа", "Госпожа"]
 TITLE = "(?:" + "|".join(sorted(MALE + FEMALE, key=len, reverse=True)) + r")\.? "
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+SEP = "[ .-]?"
+SSN = r"\d{3}-\d{2}-\d{4}(?![\d-])"
+LOCAL = r"\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])"
+#: What a space in a phone number may not lead into: an IP address, decimal or time, a date, SSN, local phone or cards in groups.
+OTHER = rf"(?:\d+[.,:/]\d|\d{{4}}-\d\d-\d\d(?!\d)|{SSN}|{LOCAL}|(?:\d{{4}}(?:[ -]\d{{4}}){{2}}[ -]\d{{1,7}}(?!\d) ?)+(?![ -]?\d))"
+#: A further group of digits; the strict one does not follow a group joined by dot or dash with a space.
+GROUP = rf"(?:[.-]?\d{{2,4}}| (?!{OTHER})\d{{2,4}})"
+STRICT = rf"(?:[.-]?\d{{2,4}}|(?<![.-]\d{{2,4}}) (?!{OTHER})\d{{2,4}})"
+#: Country codes 1 and 7 have ten digits; others one or two groups more than the first two.
+ABROAD = rf"\+[17]{SEP}(?:\(\d{{3}}\)|\d{{3}}){SEP}\d{{3}}{SEP}\d{{2}}{SEP}\d{{2}}(?!\d)|\+\d{{1,3}}{SEP}\(\d{{2,4}}\){SEP}\d{{2,4}}{SEP}\d{{2,4}}{STRICT}{{0,2}}(?!\d)|\+\d{{1,3}}{SEP}\d{{2,4}}{SEP}\d{{2,4}}(?:{GROUP}{STRICT}?)?(?!\d)"
 #: Kinds in order of precedence; the first that matches at a place wins.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,64}|(?=[a-f0-9]*[a-f])(?=[a-f0-9]*[0-9])[0-9a-f]{32,128})(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "phone": r"\+\d{1,3}[ .-]?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}(?!\d)|(?<!\d)\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\d-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])",
-    "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "phone": rf"{ABROAD}|(?<!\d)\(\d{{3}}\) ?\d{{3}}-\d{{4}}(?!\d)|(?<![\d-]){LOCAL}",
+    "ssn": rf"(?<![\d-]){SSN}",
     "card": r"(?<![\d.,])\d{4}[ -]?\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\d])",
     "name": rf"(?<!\p{{L}}){TITLE}\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }

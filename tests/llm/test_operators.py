@@ -70,6 +70,19 @@ def test_pii_collisions_are_resolved(spark):
     assert len({r.sur for r in m}) == 150 and all(r.sur != r.norm for r in m)
 
 
+def test_pii_phone_ends_before_what_follows(spark):
+    phones = ["+1 (826) 555-4081", "+1 826 555 4081", "+18265554081", "+1-826-555-4081", "+44 20 7946 0958", "+49 (30) 1234-5678", "+7 495 123-45-67", "+44 20-7946 0958"]
+    others = [("ip", "190.137.223.204"), ("card", "4524132264652876"), ("card", "4111 1111 1111 1111"), ("ssn", "123-45-6789"), ("phone", "826-555-4082"), ("phone", "(826) 555-4082"), ("phone", "+1 (826) 555-4082"), ("email", "a@b.example.com"), ("secret", "b44e15e09fd311c3cf3163b66d5a9875b883d8ce"), ("iban", "DE44500105175407324931"), ("name", "Mr. John Smith")]
+    cases = [(p, *o) for p in phones for o in others] + [(p, None, n) for p in phones for n in ("2004-01-02 on", "3.14 m", "10:30 now", "12345 left")] + [(p, None, "190 people") for p in (*phones[:4], phones[5], phones[6])]
+    rows = [(i, f"at {p} {o}.") for i, (p, _, o) in enumerate(cases)] + [(1000 + i, f"at {p}.") for i, p in enumerate(phones)]
+    got = {r.doc_id: r for r in pii.surrogates(spark.createDataFrame(rows, "doc_id long, text string"), kinds_col="kinds").collect()}
+    alone = {p: got[1000 + i].text[3:-1] for i, p in enumerate(phones)}
+    for i, (p, kind, o) in enumerate(cases):
+        text = got[i].text
+        assert text.startswith(f"at {alone[p]} ") and got[i].kinds == (["phone", kind] if kind else ["phone"]), (rows[i], text)
+        assert (f" {o}." in text) == (kind is None), (rows[i], text)
+
+
 def test_pii_is_keyed_and_stable(spark):
     d = docs_of(spark, ["a@b.example.org x"])
     one, two = (pii.surrogates(d.repartition(k), key="k").first().text for k in (1, 3))
