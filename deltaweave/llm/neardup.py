@@ -224,6 +224,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
     repeated.  Other columns are ignored.  A pair at the threshold is missed by the bands with probability
     (1 - threshold^rows)^bands, 2e-5 here.
     """
+    return classed(docs, threshold, width, bands, rows, id_col, text_col).select("doc_id", "class_id")
+
+
+def classed(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """near_duplicates with the text's digest (node) and the class's own (root); root and class_id together name a class,
+    as one doc_id may be the smallest of several."""
     base = docs.select(F.col(id_col).alias("doc_id"), digest_of(F.col(text_col)).alias("node"), F.col(text_col).alias("text"))
     light = base.select("doc_id", "node", (F.coalesce(F.length("text"), F.lit(0)) == 0).alias("blank"))
     sig = base.select("node", "text").mapInPandas(lambda it: banded(it, width, bands, rows), "node binary, bands array<long>")
@@ -238,13 +244,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, width: int = 5, ban
         roots = link_members(members, base, threshold, width)
     nodes = light.groupBy("node").agg(F.min("doc_id").alias("first"))
     if roots is None:
-        classes = nodes.select("node", F.col("first").alias("class_id"))
+        classes = nodes.select("node", F.col("node").alias("root"), F.col("first").alias("class_id"))
     else:
         placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         smallest = placed.groupBy("root").agg(F.min("first").alias("class_id"))
-        classes = placed.join(smallest, "root").select("node", "class_id")
+        classes = placed.join(smallest, "root").select("node", "root", "class_id")
     out = light.join(classes, "node")
-    return out.select("doc_id", F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
+    return out.select("doc_id", F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "node", "root")
 
 
 def prefix_tokens(nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -349,15 +355,23 @@ def link_members(members: DataFrame, base: DataFrame, threshold: float, width: i
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """docs with one row of each class: the row with the smallest doc_id (of repeated rows, one).
-
-    Rows with a null doc_id stay unless their class has an id."""
-    id_col = how.get("id_col", "doc_id")
-    classes = materialise(near_duplicates(docs, **how), "bag-classes")
-    gone = classes.where("doc_id != class_id or (doc_id is null and class_id is not null)").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")), "left_anti")
-    twice = classes.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("__twice"))
+    """docs with one row of each class: the row with the smallest doc_id (of repeated rows, one; of several texts
+    of the class with that doc_id, the one with the smallest digest).
+
+    Rows go by doc_id and text, so that a doc_id on unrelated texts stays on each.  Rows with a null doc_id stay unless
+    their class has an id."""
+    id_col, text_col = how.get("id_col", "doc_id"), how.get("text_col", "text")
+    rows = materialise(classed(docs, **how).groupBy("doc_id", "class_id", "node", "root").agg(F.count("*").alias("n")), "bag-classes")
+    heads = rows.where("doc_id = class_id")
+    firsts = heads.groupBy("root", "class_id").agg(F.min("node").alias("first"))
+    heads = heads.join(firsts, ["root", "class_id"])
+    gone = rows.where("class_id is not null and (doc_id is null or doc_id != class_id)").select("doc_id", "node")
+    gone = gone.unionByName(heads.where("node != first").select("doc_id", "node")).toDF("__gone", "__node")
+    digest = digest_of(docs[text_col])
+    kept = docs.join(gone, docs[id_col].eqNullSafe(F.col("__gone")) & (digest == F.col("__node")), "left_anti")
+    twice = heads.where("node = first and n > 1").select(F.col("doc_id").alias("__twice"), F.col("node").alias("__node"))
     if not twice.take(1):
         return kept
-    again = kept.join(twice, docs[id_col] == F.col("__twice"), "left_semi").dropDuplicates([id_col])
-    return kept.join(twice, docs[id_col] == F.col("__twice"), "left_anti").unionByName(again)
+    same = (docs[id_col] == F.col("__twice")) & (digest == F.col("__node"))
+    again = kept.join(twice, same, "left_semi").withColumn("__text", digest).dropDuplicates([id_col, "__text"]).drop("__text")
+    return kept.join(twice, same, "left_anti").unionByName(again)

@@ -217,6 +217,15 @@ def test_keep_one(spark):
     assert neardup.keep_one(d.limit(0)).count() == 0
 
 
+def test_keep_one_with_null_and_repeated_ids(spark):
+    t, u, v, w = ("one two three four five six seven eight nine ten", "other words entirely here now", "a third text that is like none", "a fourth one of its own kind")
+    rows = [(0, t), (None, t), (None, u), (None, v), (2, t), (2, w), (7, "red text about seas"), (7, "blue text about hills"), (7, "red text about seas"), (9, None), (9, "green text about roads"), (None, None), (8, ""), (8, None)]
+    got = Counter(tuple(r) for r in neardup.keep_one(docs_of(spark, rows)).select("doc_id", "text").collect())
+    blank = [k for k in got if k[0] == 8]
+    assert len(blank) == 1 and got.pop(blank[0]) == 1
+    assert got == Counter([(0, t), (None, u), (None, v), (2, w), (7, "red text about seas"), (7, "blue text about hills"), (9, None), (9, "green text about roads"), (None, None)])
+
+
 # ---------------------------------------------------------------- SentencePiece
 def test_spm_equals_the_library(spark):
     import sentencepiece
