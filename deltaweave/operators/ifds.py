@@ -28,7 +28,7 @@ def solve(p: Problem, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Path edges (d1, n, d2) reachable from seeds (n, d), each with the self-loop (d, n, d).
 
     Per round: normal and call-to-return flow of the new path edges; new calls (incoming) with old
-    summaries and new summaries with all incoming calls."""
+    summaries and new summaries with all incoming calls; new path edges at known calls with old summaries."""
     spark = seeds.sparkSession
     path = stored(seeds.selectExpr("d as d1", "n", "d as d2").distinct())
     delta = path
@@ -45,7 +45,8 @@ def solve(p: Problem, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         new_end = d.join(done, d.n == done.x).select("s", F.col("d1").alias("d3"), "f", "x", F.col("d2").alias("d4")).distinct()
         new_end = stored(new_end.join(ends, ["s", "d3", "f", "x", "d4"], "left_anti"))
         all_in = incoming.unionByName(new_in)
-        met = new_in.join(ends, ["s", "d3", "f"]).unionByName(all_in.join(new_end, ["s", "d3", "f"])).select("n", "d2", "f", "x", "d4")
+        again = incoming.join(d, ["n", "d2"], "left_semi")  # a call that another entry fact reached before
+        met = new_in.unionByName(again).join(ends, ["s", "d3", "f"]).unionByName(all_in.join(new_end, ["s", "d3", "f"])).select("n", "d2", "f", "x", "d4")
         back = met.join(p.leave.withColumnRenamed("d", "d4"), ["n", "f", "x", "d4"]).select("n", "d2", "r", "e")
         both = path
         back = back.join(both, ["n", "d2"]).select("d1", F.col("r").alias("n"), F.col("e").alias("d2"))

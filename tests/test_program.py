@@ -33,6 +33,22 @@ def test_ifds_matches_calls_with_returns(spark):
     assert got == {(1, "a"), (10, "p"), (11, "p"), (2, "x"), (3, "x"), (4, "x")}  # not (4, y): b is clean
 
 
+def test_ifds_call_reached_by_two_contexts_in_different_rounds(spark):
+    """a (at 19) and b (at 16, three steps earlier) become x at 20, where h is called; h gives back leak at 21."""
+    d = lambda rows, s: spark.createDataFrame(rows, s)
+    p = ifds.Problem(
+        entry=d([("h", 30)], "f string, s long"),
+        exit=d([("h", 30)], "f string, x long"),
+        normal=d([(16, 17, "b", "b"), (17, 18, "b", "b"), (18, 19, "b", "b"), (19, 20, "a", "x"), (19, 20, "b", "x")], "n long, m long, d string, e string"),
+        enter=d([(20, "h", "x", "p")], "n long, f string, d string, e string"),
+        leave=d([(20, "h", 30, 21, "p", "leak")], "n long, f string, x long, r long, d string, e string"),
+        around=d([], "n long, r long, d string, e string"),
+    )
+    got = {(r.d1, r.n, r.d2) for r in ifds.solve(p, d([(19, "a"), (16, "b")], "n long, d string")).collect()}
+    want = {("a", 19, "a"), ("a", 20, "x"), ("p", 30, "p"), ("a", 21, "leak"), ("b", 20, "x"), ("b", 21, "leak")}
+    assert got == want | {("b", n, "b") for n in (16, 17, 18, 19)}
+
+
 def test_flat_lattice_join(spark):
     rows = [(0, 0, None), (1, 0, None), (1, 1, 5), (2, 1, 5), (2, 1, 5), (3, 1, 5), (3, 1, 6), (4, 2, None), (4, 1, 5)]
     tag, v = lattice.flat_join()
