@@ -12,8 +12,8 @@ from ..plans.storage import stored
 def semi_naive(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame], max_rounds: int = 1000, on_round: Callable[[int, DataFrame], bool] | None = None) -> DataFrame:
     """The least set that holds `seed` and is closed under `step(delta, seen)`.
 
-    Each round joins only the new rows.  Rounds end when nothing is new, after max_rounds, or when
-    on_round(number, delta) gives False (stepping, time limits).  Rows must be comparable as a whole."""
+    Each round joins only the new rows.  Rounds end when nothing is new or when
+    on_round(number, delta) gives False (stepping, time limits); max_rounds without a fixpoint raise an error.  Rows must be comparable as a whole."""
     delta = stored(seed.distinct())
     parts = [delta]
     for n in range(max_rounds):
@@ -33,6 +33,8 @@ def semi_naive(seed: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame
             for p in parts[1:]:
                 whole = whole.unionByName(p)
             parts = [stored(whole)]
+    else:
+        raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -49,6 +49,19 @@ def test_ifds_call_reached_by_two_contexts_in_different_rounds(spark):
     assert got == want | {("b", n, "b") for n in (16, 17, 18, 19)}
 
 
+def test_semi_naive_without_fixpoint_is_an_error(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(6)], "x int, y int")
+    seed = e.where("x = 0")
+    step = lambda delta, seen: delta.toDF("x", "z").join(e.toDF("z", "y"), "z").select("x", "y")
+    assert fixpoint.semi_naive(seed, step).count() == 6
+    assert fixpoint.semi_naive(seed, step, max_rounds=3, on_round=lambda n, _: n < 2).count() == 3
+    try:
+        fixpoint.semi_naive(seed, step, max_rounds=3)
+    except RuntimeError:
+        return
+    raise AssertionError("an incomplete set came back")
+
+
 def test_flat_lattice_join(spark):
     rows = [(0, 0, None), (1, 0, None), (1, 1, 5), (2, 1, 5), (2, 1, 5), (3, 1, 5), (3, 1, 6), (4, 2, None), (4, 1, 5)]
     tag, v = lattice.flat_join()
