@@ -52,7 +52,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     rules with null parts never fit; an empty rules table gives every page the default.
     """
     rules = rules.select("host", "path", "verdict").where("host is not null and path is not null and verdict is not null").distinct()
-    lengths = [r[0] for r in rules.select(F.length("path")).distinct().sort(F.length("path")).limit(2048).collect()]
+    lengths = [r[0] for r in rules.select(F.length("path")).distinct().sort(F.length("path")).collect()]
     pages = with_host_path(pages, url).drop("rule", "verdict")
     if not lengths:
         return pages.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
@@ -62,7 +62,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         keyed = F.broadcast(keyed)
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    cuts = F.filter(F.array(*map(F.lit, lengths)), lambda n: n <= F.length("path"))
+    cuts = F.filter(F.split(F.lit(",".join(map(str, lengths))), ",").cast("array<int>"), lambda n: n <= F.length("path"))
     expressions = F.flatten(F.transform(suffixes, lambda h: F.transform(cuts, lambda n: F.concat(h, F.lit("\n"), F.substring("path", F.lit(1), n)))))
     distinct = pages.groupBy("host", "path").agg(F.lit(1).alias("__one")).drop("__one")
     tried = distinct.select("host", "path", F.explode(F.array_distinct(expressions)).alias("__e"))

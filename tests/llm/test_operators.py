@@ -379,6 +379,13 @@ def test_url_rules_by_force(spark):
     assert {x.verdict for x in urlfilter.judge_urls(d, r.limit(0)).collect()} == {"allow"}
 
 
+def test_url_rules_of_many_lengths(spark):
+    r = spark.createDataFrame([("a.com", "/" + "x" * i, "block" if i == 2199 else "allow") for i in range(2200)], "host string, path string, verdict string")
+    d = spark.createDataFrame([(0, "http://a.com/" + "x" * 2500), (1, "http://a.com/xx")], "page_id long, url string")
+    got = {x.page_id: (len(x.rule), x.verdict) for x in urlfilter.judge_urls(d, r).collect()}
+    assert got == {0: (2205, "block"), 1: (8, "allow")}
+
+
 # ---------------------------------------------------------------- decontamination
 def edit_distance_in(p, t):
     row = [0] * (len(t) + 1)
