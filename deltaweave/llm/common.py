@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of letters, digits or underscores, compared in lower case.
@@ -28,6 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def observed(df: DataFrame, label: str, **figures: Column) -> tuple[DataFrame, dict]:
+    """materialise(df) and aggregates of its rows, taken while they are written: no job of their own."""
+    seen = Observation()
+    out = materialise(df.observe(seen, *(c.alias(n) for n, c in figures.items())), label)
+    return out, seen.get
+
+
+def counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """materialise(df) and its number of rows."""
+    out, figures = observed(df, label, n=F.count(F.lit(1)))
+    return out, figures["n"]
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends at replicated files that
     survive lost executors.  The files go when the application ends."""

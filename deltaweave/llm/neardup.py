@@ -8,14 +8,14 @@ each register has a point, so long texts draw few points beside one per shingle.
 
 Registers are banded; texts that share a band are candidates, and a link needs a verified multiset overlap of the
 shingles.  Buckets are not expanded into pairs: each round compares some centres of a bucket with the members that
-are not yet in the centre's component, first the member that shares most buckets with others, then eight times as many members
+are not yet in the centre's component, first the member that shares most buckets with others, then 32 times as many members
 in each further round.  A centre that met all others leaves its bucket.  A bucket ends when it is one component or all were
 centres, so no link between components is lost, however large the bucket.  Three exact bounds spare comparisons.  The smaller
 multiset must reach the threshold times the larger.  One minus the weighted Jaccard similarity is a metric, so the
 similarities of both texts to the bucket's first centre may differ by one minus the threshold at most.  And large buckets that
-`HUB_ROUNDS` rounds leave in several components (texts around one common passage, say) are dealt anew by prefix tokens:
-linked texts share a shingle among the rarest of both, about a fifth of each text, and from the first of these shingles on
-either text still holds the overlap that the two totals ask for.
+the first round leaves in several components (texts around one common passage, say) are dealt anew by prefix tokens:
+linked texts share a shingle among the rarest of both (a ninth of each text if all are of one size, a fifth at most), and from
+the first of these shingles on either text still holds the overlap that the two totals ask for.
 Components come from label propagation with shortcuts, cut by files in the shared folder.
 """
 
@@ -29,12 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import digest_of, drop_materialised, materialise, words_of
+from .common import counted, digest_of, drop_materialised, materialise, observed, words_of
 
 BANDS, ROWS = 21, 4
-SMALL, HUB_ROUNDS = 32, 1
-#: Counters of shingle frequency, which only order shingles; a bound of what is sent to the driver and back.
-COUNTERS = 1 << 20
+#: Buckets over this size are dealt anew after the hub round; also how many times more centres each further round has.
+SMALL = 32
+#: Counters of shingle frequency, in chunks; 4 MB are sent to the driver and back, whatever the number of texts.
+COUNTERS, CHUNK = 1 << 20, 1 << 12
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -170,29 +171,31 @@ def banded(batches: Iterator[pd.DataFrame], width: int, bands: int, rows: int) -
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root) for all nodes of edges (a, b): root is the component's smallest node.
 
-    Alternating large-star and small-star steps; the edges after both are files in the shared folder.  Neighbour lists are
-    never gathered: a step is a minimum by node and a join.
+    Alternating large-star and small-star steps until the edges stay the same (their count and checksums, taken as they are
+    written); the edges are files in the shared folder.  Neighbour lists are never gathered: a step is a minimum by node and a join.
     """
     def sides(e: DataFrame) -> DataFrame:
         return e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
-    edges = materialise(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    for _ in range(most_rounds):
-        both = sides(edges)
+    def star(e: DataFrame) -> DataFrame:
+        both = sides(e)
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").repartition("a").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))  # dealt by a already, as is the join
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        new = materialise(small.unionByName(down.select("a", F.col("m").alias("b"))).distinct(), "cc")
+        return small.unionByName(down.select("a", F.col("m").alias("b"))).distinct()
+
+    mark = {"n": F.count(F.lit(1)), "x": F.bit_xor(F.xxhash64("a", "b")), "s": F.sum(F.pmod(F.xxhash64("b", "a"), F.lit(1 << 31)))}
+    start = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges, before = observed(star(start), "cc", **mark)
+    for _ in range(most_rounds):
+        new, now = observed(star(edges), "cc", **mark)
         drop_materialised(edges)
         edges = new
-        # a star forest: no node is both a child and a parent, each child has one parent
-        role = lambda c, n: F.struct(F.col(c).alias("u"), F.lit(n).alias("child"), F.lit(1 - n).alias("parent"))
-        ends = edges.select(F.explode(F.array(role("a", 1), role("b", 0))).alias("x")).groupBy("x.u").agg(F.sum("x.child").alias("child"), F.max("x.parent").alias("parent"))
-        unsettled = ends.agg(F.count_if(F.col("child") + F.col("parent") > 1)).first()[0]
-        if not unsettled:
+        if now == before:  # the same edges: a star forest
             roots = edges.select("b").distinct()
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select(F.col("b").alias("node"), F.col("b").alias("root")))
+        before = now
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
@@ -253,39 +256,72 @@ def classed(docs: DataFrame, threshold: float = 0.8, width: int = 5, bands: int
     return out.select("doc_id", F.when(F.col("blank"), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), "node", "root")
 
 
-def prefix_tokens(nodes: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """(bucket, node, left): the rare shingles of each node's bag of which two bags that overlap by the threshold share one,
-    and the weight of the bag from there on.
+def least_partner(large: DataFrame, threshold: float) -> DataFrame:
+    """(node, deg, total, partner): partner is a lower bound of the totals of those that the node could be linked with in its
+    buckets.  Totals go by classes 2 % wide, of which a bucket has a thousand at most."""
+    step = math.log(1.02)
+    kind = lambda total: F.floor(F.log(total) / step)
+    sizes = large.groupBy("bucket").agg(F.collect_set(kind(F.col("total"))).alias("kinds"))
+    lowest = kind(F.greatest(F.col("total") * threshold, F.lit(1.0)))
+    met = large.join(sizes, "bucket").withColumn("kind", F.array_min(F.filter("kinds", lambda k: k >= lowest)))
+    bound = F.greatest(F.exp(F.col("kind") * step) * (1 - 1e-9), F.col("total") * threshold)
+    return met.groupBy("node").agg(F.first("deg").alias("deg"), F.first("total").alias("total"), F.min(bound).alias("partner"))
 
-    Shingles are ordered by their counter's frequency in these bags, then by hash.  The first common shingle of two linked bags
-    has the whole overlap from it onwards, at least the threshold times either total."""
-    mine = materialise(bags.join(nodes, "node", "left_semi"), "bag-large")
 
+def shingle_counts(bags: DataFrame) -> np.ndarray:
+    """In how many of these bags a shingle of each of the counters occurs; COUNTERS numbers, whatever the number of bags."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n = np.zeros(COUNTERS, np.int64)
         for t in batches:
             for h in t.hashes:
                 np.add.at(n, (np.frombuffer(h, np.uint64) % np.uint64(COUNTERS)).astype(np.int64), 1)
-        at = np.flatnonzero(n)
-        yield pd.DataFrame({"slot": at, "n": n[at]})
+        yield from chunks(n.reshape(-1, CHUNK))
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        n: dict[int, np.ndarray] = {}
+        for t in batches:
+            for c, at, k in zip(t.chunk, t["at"], t.n, strict=True):
+                n.setdefault(c, np.zeros(CHUNK, np.int64))[np.frombuffer(at, np.uint16)] += np.frombuffer(k, np.int32)
+        for c, row in n.items():
+            yield from chunks(row[None], c)
+
+    def chunks(rows: np.ndarray, first: int = 0) -> Iterator[pd.DataFrame]:
+        for c, row in enumerate(rows, first):
+            at = np.flatnonzero(row)
+            if len(at):
+                yield pd.DataFrame({"chunk": [c], "at": [at.astype(np.uint16).tobytes()], "n": [np.minimum(row[at], (1 << 31) - 1).astype(np.int32).tobytes()]})
 
-    counted = mine.select("hashes").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    n = np.zeros(COUNTERS, np.int64)
-    n[counted.slot] = counted.n
-    often = mine.sparkSession.sparkContext.broadcast(n)
+    schema = "chunk int, at binary, n binary"
+    parts = bags.select("hashes").mapInPandas(count, schema).repartition("chunk").mapInPandas(add, schema)
+    out = np.zeros((COUNTERS // CHUNK, CHUNK), np.int32)
+    for r in parts.toLocalIterator():
+        out[r.chunk, np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r.n, np.int32)
+    return out.ravel()
+
+
+def prefix_tokens(large: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """(bucket, node, n0, deg, total, left, p): for the nodes of these buckets the rare shingles of the bag of which two linked
+    bags share one, as new buckets, and the weight of the bag from there on.
+
+    Shingles are ordered by their counter's frequency in these bags, then by hash.  The first common shingle of two linked bags
+    has the whole overlap from it onwards, and so at least the overlap that the two totals ask for.  A shingle whose counter is 1
+    is in one bag only and is left out."""
+    mine = materialise(bags.select("node", "hashes", "counts").join(least_partner(large, threshold), "node"), "bag-large")
+    often = mine.sparkSession.sparkContext.broadcast(shingle_counts(mine))
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
-            for node, h, c in zip(t.node, t.hashes, t.counts, strict=True):
+            for node, h, c, deg, total, partner in zip(t.node, t.hashes, t.counts, t.deg, t.total, t.partner, strict=True):
                 h = np.frombuffer(h, np.uint64)
                 w = np.frombuffer(c, np.int32).astype(np.int64) if len(c) else np.ones(len(h), np.int64)
-                order = np.lexsort((h, often.value[(h % np.uint64(COUNTERS)).astype(np.int64)]))
-                w = w[order]
-                left = w[::-1].cumsum()[::-1]
-                keep = left >= (threshold - 1e-9) * w.sum()
-                yield pd.DataFrame({"bucket": h[order][keep].view(np.int64), "node": [node] * int(keep.sum()), "left": left[keep]})
+                n = often.value[(h % np.uint64(COUNTERS)).astype(np.int64)]
+                order = np.lexsort((h, n))
+                left = w[order][::-1].cumsum()[::-1]
+                keep = (left >= (total + partner) * (threshold / (1 + threshold) - 1e-9)) & (n[order] > 1)
+                yield pd.DataFrame({"bucket": h[order][keep].view(np.int64), "node": [node] * int(keep.sum()), "deg": deg, "total": total, "left": left[keep]})
 
-    return mine.mapInPandas(tokens, "bucket long, node binary, left long")
+    dealt = mine.mapInPandas(tokens, "bucket long, node binary, deg long, total long, left long")
+    return dealt.select("bucket", "node", F.lit(0).cast("long").alias("n0"), "deg", "total", "left", F.lit(None).cast("double").alias("p"))
 
 
 def link_members(members: DataFrame, base: DataFrame, threshold: float, width: int) -> DataFrame | None:
@@ -297,6 +333,12 @@ def link_members(members: DataFrame, base: DataFrame, threshold: float, width: i
             counts = [w.astype(np.int32).tobytes() if (w > 1).any() else b"" for _, w in bags]  # none: all are 1
             yield pd.DataFrame({"node": b.node, "hashes": [s.tobytes() for s, _ in bags], "counts": counts, "total": [int(w.sum()) for _, w in bags]})
 
+    def unsolved(of: DataFrame) -> tuple[DataFrame, int]:
+        """The members of buckets that hold two components or more, and how many rows these are."""
+        now = of.withColumn("root", F.col("node")) if roots is None else of.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        split = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("node", F.struct("deg", "node")).alias("first"), F.count("*").alias("n")).where("lo != hi")
+        return counted(now.join(split.select("bucket", "first", "n"), "bucket"), "bag-round")
+
     wanted = members.select("node").distinct()
     texts = base.select("node", "text").dropDuplicates(["node"]).join(wanted, "node", "left_semi")
     bags = materialise(texts.mapInPandas(to_bags, "node binary, hashes binary, counts binary, total long"), "bags")
@@ -305,25 +347,18 @@ def link_members(members: DataFrame, base: DataFrame, threshold: float, width: i
     about = sized.groupBy("node").agg(F.sum("n0").alias("deg")).join(bags.select("node", "total"), "node")
     members = materialise(sized.join(about, "node").withColumn("left", F.col("total")).withColumn("p", F.lit(None).cast("double")), "bag-members")
     drop_materialised(first)
-    roots, number, tried, rounds = None, 1, None, 0
+    roots, number, tried = None, 1, None
     while True:
-        if rounds == HUB_ROUNDS:
-            large = members.where(F.col("n0") > SMALL).select("node").distinct()
-            if large.take(1):
-                dealt = prefix_tokens(large, bags, threshold).join(members.select("node", "deg", "total").distinct(), "node")
-                dealt = dealt.select("bucket", "node", F.lit(0).cast("long").alias("n0"), "deg", "total", "left", F.lit(None).cast("double").alias("p"))
-                members = materialise(members.where(F.col("n0") <= SMALL).unionByName(dealt), "bag-members")
-        rounds += 1
-        now = members
-        if roots is None:
-            now = now.withColumn("root", F.col("node"))
-        else:
-            now = now.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        # buckets with at least two components
-        split = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max_by("node", F.struct("deg", "node")).alias("first"), F.count("*").alias("n")).where("lo != hi")
-        now = materialise(now.join(split.select("bucket", "first", "n"), "bucket"), "bag-round")
+        now, rows = unsolved(members)
         drop_materialised(members)
-        if not now.take(1):
+        if number == SMALL and rows:  # the hub round is over: what large buckets left unsolved is dealt anew
+            kept, large = now.where(F.col("n0") <= SMALL), now.where(F.col("n0") > SMALL)
+            dealt = prefix_tokens(large, bags, threshold)
+            members = materialise(kept.select(*dealt.columns).unionByName(dealt), "bag-members")
+            drop_materialised(now)
+            now, rows = unsolved(members)
+            drop_materialised(members)
+        if not rows:
             break
         # this round's centres: the hub, and later about `number` members chosen by hash
         chance = F.pmod(F.xxhash64("node", F.lit(number)), F.col("n"))
@@ -333,10 +368,11 @@ def link_members(members: DataFrame, base: DataFrame, threshold: float, width: i
         pairs = now.join(centre, "bucket").where("root != cr").where(reachable).select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        seen = materialise(measured(pairs, bags), "bag-pairs")
-        found = seen.where(F.col("s") >= threshold).select("a", "b")
-        if found.take(1):
+        linked = F.col("s") >= threshold
+        seen, figures = observed(measured(pairs, bags), "bag-pairs", links=F.count_if(linked))
+        if figures["links"]:
             # earlier links are in the roots, which are a star forest already
+            found = seen.where(linked).select("a", "b")
             links = found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
             before, roots = roots, materialise(components(links), "bag-roots")
             if before is not None:
@@ -349,7 +385,7 @@ def link_members(members: DataFrame, base: DataFrame, threshold: float, width: i
         members = materialise(rest.select("bucket", "node", "n0", "deg", "total", "left", "p"), "bag-members")
         tried = seen.select("a", "b") if tried is None else tried.unionByName(seen.select("a", "b"))
         drop_materialised(now)
-        number *= 8
+        number *= SMALL
     drop_materialised(bags)
     return roots
 
