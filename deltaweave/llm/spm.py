@@ -7,7 +7,8 @@ edge over two adjacent symbols is contracted until none is left, for a unigram m
 taken over the edges.  What no edge covers falls back to bytes or to <unk>.
 
 Pieces never join text before a space to the space (checked when the model is read), so words are independent and each
-distinct word is matched once in a worker, whose memory of words is bounded.
+distinct word is matched once in a worker, whose memory of words is bounded in bytes.  A word of more than `HUGE` characters is
+indexed in blocks; of its edges one bit for each place and length stays, and contractions of one score are made at once.
 """
 
 from __future__ import annotations
@@ -23,11 +24,39 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 PRETOKEN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Words over this length are contracted one by one, shorter ones side by side.
-LONG = 48
+#: Words over LONG are contracted one by one, shorter ones side by side; words over HUGE are indexed in blocks.
+LONG, HUGE = 48, 20_000
+#: Bytes of remembered words in each of two generations, and characters that are indexed at once, in a worker.
+MEMORY, BATCH_CHARS = 48 << 20, 1 << 16
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def fields(message: bytes) -> dict[int, list]:
+    """The fields of a protocol-buffer message: numbers, or bytes of nested messages and strings."""
+    out, at = {}, 0
+
+    def number() -> int:
+        nonlocal at
+        v = shift = 0
+        while True:
+            b = message[at]
+            at += 1
+            v |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return v
+
+    while at < len(message):
+        tag = number()
+        kind = tag & 7
+        n = {0: 0, 1: 8, 5: 4}.get(kind)
+        if n is None:
+            n = number()
+        out.setdefault(tag >> 3, []).append(number() if kind == 0 else message[at : at + n])
+        at += n
+    return out
+
+
 class Vocabulary:
     """What of a model the matcher needs; read from a SentencePiece file or given."""
 
@@ -48,19 +77,27 @@ class Vocabulary:
         pieces = [sp.id_to_piece(i) for i in range(n)]
         bytes_ = {int(pieces[i][3:5], 16): i for i in range(n) if sp.is_byte(i)}
         special = {i for i in range(n) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
-        # a BPE model's scores are its negative merge ranks
-        kind = "bpe" if min(sp.get_score(i) for i in range(n)) <= -n / 2 else "unigram"
+        with open(path, "rb") as f:
+            model = fields(f.read())
+        trainer, normalizer = (fields(b"".join(model.get(k, []))) for k in (2, 3))  # of repeated fields the last counts
+        kind = {1: "unigram", 2: "bpe"}.get(trainer.get(3, [1])[-1])  # numbers of the public model format
+        plain = not normalizer.get(2, [b""])[-1] and normalizer.get(3, [1])[-1] and not normalizer.get(4, [1])[-1] and normalizer.get(5, [1])[-1]
+        if not kind or not plain or trainer.get(24, [0])[-1]:
+            raise ValueError(f"{path}: only BPE and unigram models are read that keep text as it is but for one space before it and U+2581 for spaces")
         return cls(pieces, [sp.get_score(i) for i in range(n)], bytes_, special, sp.unk_id(), kind)
 
 
 class Matcher:
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 500_000, batch_chars: int = 400_000):
-        self.v, self.most, self.batch = vocabulary, most_words, batch_chars
-        self.memo: dict[str, list[int]] = {}
+    def __init__(self, vocabulary: Vocabulary, memory: int = MEMORY, batch_chars: int = BATCH_CHARS):
+        self.v, self.most, self.batch = vocabulary, memory, batch_chars
+        # word -> int32 ids as bytes; words of the older generation move over when they are met
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.used = 0
         codes = sorted({c for i in vocabulary.ids for c in vocabulary.pieces[i]})
         self.symbol = {c: k + 1 for k, c in enumerate(codes)}  # 0: a character in no piece
         width = vocabulary.longest
-        table = np.zeros((len(vocabulary.ids), width), np.int64)
+        table = np.zeros((len(vocabulary.ids), width), np.uint16)
         self.length = np.array([len(vocabulary.pieces[i]) for i in vocabulary.ids])
         for row, i in enumerate(vocabulary.ids):
             p = vocabulary.pieces[i]
@@ -73,6 +110,8 @@ class Matcher:
         self.high_bytes = {i for b, i in vocabulary.bytes.items() if b > 127}
         self.low = self.keys(table)
         self.high = self.keys(np.where(filled, table, 65_024))
+        self.by_key = np.argsort(self.low)
+        self.rank = np.unique(vocabulary.scores, return_inverse=True)[1].astype(np.int32)
 
     @staticmethod
     def keys(symbols: np.ndarray) -> np.ndarray:
@@ -82,21 +121,19 @@ class Matcher:
         n = symbols.shape[1] * 2
         return np.ascontiguousarray(two).reshape(len(symbols), n).view(f"S{n}").ravel()
 
-    def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The concatenated words' edges, sorted by (start, length): starts, lengths, piece ids; and the words' starts."""
-        lengths = np.array([len(w) for w in words])
-        starts = np.concatenate([[0], lengths.cumsum()])
-        text = "".join(words)
+    def symbols(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         values, back = np.unique(points, return_inverse=True)
-        symbols = np.array([self.symbol.get(chr(c), 0) for c in values], np.int64)[back]
-        end = np.repeat(starts[1:], lengths)
+        return np.array([self.symbol.get(chr(c), 0) for c in values], np.uint16)[back]
+
+    def occurrences(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pieces occur in a text of symbols: starts and indices into the vocabulary's ids."""
         width, n = self.v.longest, len(symbols)
-        padded = np.concatenate([symbols, np.zeros(width, np.int64)])
+        padded = np.concatenate([symbols, np.zeros(width, np.uint16)])
         # suffix array up to `width` symbols by prefix doubling
-        order, rank, step = None, padded[:n], 1
+        order, rank, step = None, symbols.astype(np.int64), 1
         while True:
-            after = np.concatenate([rank[step:], np.full(min(step, n), -1)])[:n] if step else rank
+            after = np.concatenate([rank[step:], np.full(min(step, n), -1)])[:n]
             pair = (rank + 1) * (int(rank.max(initial=0)) + 3) + after + 1
             order = np.argsort(pair, kind="stable")
             bounds = np.concatenate([[0], (np.diff(pair[order]) != 0).cumsum()]) if n else np.zeros(0, np.int64)
@@ -112,10 +149,17 @@ class Matcher:
         hit = np.flatnonzero(found > 0)
         which = np.repeat(hit, found[hit])
         within = np.arange(len(which)) - np.repeat(found[hit].cumsum() - found[hit], found[hit])
-        at = order[np.repeat(first[hit], found[hit]) + within]
+        return order[np.repeat(first[hit], found[hit]) + within], which
+
+    def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The concatenated words' edges, sorted by (start, length): starts, lengths, piece ids; and the words' starts."""
+        lengths = np.array([len(w) for w in words])
+        starts = np.concatenate([[0], lengths.cumsum()])
+        end = np.repeat(starts[1:], lengths)
+        at, which = self.occurrences(self.symbols("".join(words)))
         inside = at + self.length[which] <= end[at]  # a piece does not reach into the next word
         at, which = at[inside], which[inside]
-        by = np.argsort(at * (width + 1) + self.length[which], kind="stable")
+        by = np.argsort(at * (self.v.longest + 1) + self.length[which], kind="stable")
         at, which = at[by], which[by]
         return at, self.length[which], self.v.ids[which], starts
 
@@ -125,11 +169,87 @@ class Matcher:
             long = [w for w in words if len(w) > LONG]
             words = [w for w in words if len(w) <= LONG]
             for w in long:
-                self.memo[w] = self.relax_bpe_long(w, *self.edges([w])[:3])
+                ids = self.relax_bpe_huge(w) if len(w) > HUGE else None
+                self.remember(w, self.relax_bpe_long(w, *self.edges([w])[:3]) if ids is None else ids)
         if words:
             at, length, piece, starts = self.edges(words)
             relax = self.relax_bpe if self.v.kind == "bpe" else self.relax_unigram
-            self.memo.update(zip(words, relax(words, at, length, piece, starts), strict=True))
+            for w, ids in zip(words, relax(words, at, length, piece, starts), strict=True):
+                self.remember(w, ids)
+
+    def remember(self, word: str, ids) -> None:
+        self.memo[word] = packed = np.array(ids, np.int32).tobytes()
+        self.used += 200 + 2 * len(word) + len(packed)
+
+    def relax_bpe_huge(self, word: str) -> np.ndarray | None:
+        """The ids of a word that is too long for lists: all contractions of the best score at once, leftmost first where
+        they overlap.  None if a contraction opens one of no lower score (not so with ranks of merges)."""
+        n, width, ids = len(word), self.v.longest, self.v.ids
+        symbols = self.symbols(word)
+        lengths = np.zeros(n, np.uint32)  # bit k: a piece of k symbols begins here
+        for a in range(0, n, self.batch):
+            at, which = self.occurrences(symbols[a : a + self.batch + width])
+            mine = at < self.batch
+            np.bitwise_or.at(lengths, a + at[mine], np.uint32(1) << self.length[which[mine]].astype(np.uint32))
+        padded = np.lib.stride_tricks.sliding_window_view(np.concatenate([symbols, np.zeros(width, np.uint16)]), width)
+        sorted_keys = self.low[self.by_key]
+
+        def pieces(s: np.ndarray, k: np.ndarray) -> np.ndarray:
+            """Ids of the pieces of k symbols at s, -1 where there is none."""
+            out = np.full(len(s), -1, np.int32)
+            for a in range(0, len(s), self.batch):
+                there = a + np.flatnonzero((k[a : a + self.batch] <= width) & (lengths[s[a : a + self.batch]] >> np.minimum(k[a : a + self.batch], 31).astype(np.uint32) & 1 > 0))
+                rows = np.where(np.arange(width) < k[there][:, None], padded[s[there]], 0)
+                out[there] = ids[self.by_key[np.searchsorted(sorted_keys, self.keys(rows))]]
+            return out
+
+        right, left = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+
+        def gain(s: np.ndarray) -> np.ndarray:
+            """Rank of the score of contracting the symbol at s with the next one, -1 if nothing covers both."""
+            out = np.full(len(s), -1, np.int32)
+            ok = np.flatnonzero(right[s] < n)
+            p = pieces(s[ok], right[right[s[ok]]] - s[ok])
+            out[ok] = np.where(p >= 0, self.rank[p], -1)
+            return out
+
+        open_ = np.concatenate([gain(np.arange(a, min(a + self.batch, n))) for a in range(0, n, self.batch)])
+        while len(open_) and (best := int(open_.max())) >= 0:
+            s = np.flatnonzero(open_ == best)
+            chained = np.concatenate([[False], right[s[:-1]] == s[1:]])
+            place = np.arange(len(s))
+            s = s[(place - np.maximum.accumulate(np.where(chained, 0, place))) % 2 == 0]
+            mid = right[s]
+            end = right[mid]
+            right[s] = end
+            open_[mid] = -1
+            left[end[end < n]] = s[end < n]
+            again = np.unique(np.concatenate([s, left[s][left[s] >= 0]]))
+            open_[again] = gain(again)
+            if (open_[again] >= best).any() and self.opens_better(s, left, open_, best):
+                return None
+        starts, at = [], 0
+        step = right.tolist() if n <= 1 << 16 else right
+        out = bytearray()
+        while at < n:
+            starts.append(at)
+            at = int(step[at])
+            if len(starts) == self.batch or at >= n:
+                s = np.array(starts, np.int64)
+                got = pieces(s, right[s] - s)
+                if (got < 0).any():
+                    for i, v in zip(starts, got.tolist(), strict=True):
+                        out += np.array([v] if v >= 0 else self.fallback(word[i]), np.int32).tobytes()
+                else:
+                    out += got.tobytes()
+                starts = []
+        return np.frombuffer(bytes(out), np.int32)
+
+    @staticmethod
+    def opens_better(s: np.ndarray, left: np.ndarray, open_: np.ndarray, best: int) -> bool:
+        """Whether a symbol just made, or the one before it, has a contraction of at least that rank."""
+        before = left[s]
+        return bool((open_[s] >= best).any() or (open_[before[before >= 0]] > best).any())
 
     def relax_bpe_long(self, word: str, at, length, piece) -> list[int]:
         """One long word: its contractions wait in a heap, best score first, leftmost among equals."""
@@ -252,27 +372,29 @@ class Matcher:
                     t, s = j + int(length[x]), best[j] + float(self.v.scores[piece[x]])
                     if s > best[t]:
                         best[t], back[t] = s, (j, int(piece[x]))
-            ids, j = [], n
+            parts, j = [], n
             while j:
                 s, p = back[j]
-                ids = ([p] if p >= 0 else self.fallback(w[s:j])) + ids
+                parts.append([p] if p >= 0 else self.fallback(w[s:j]))
                 j = s
-            out.append(ids)
+            out.append([i for p in reversed(parts) for i in p])
         return out
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of whole texts; null and empty texts have none."""
-        split, new, size = [], {}, 0
-        if len(self.memo) > self.most:
-            self.memo.clear()
+        if self.used > self.most:
+            self.old, self.memo, self.used = self.memo, {}, 0
         cut = PRETOKEN.findall if self.v.by_word else (lambda t: [t])
         split = [cut(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        memo = self.memo
+        memo, old, new, block, size = self.memo, self.old, {}, [], 0
         for parts in split:
             for w in parts:
                 if w not in memo and w not in new:
-                    new[w] = None
-        block: list[str] = []
+                    if w in old:
+                        memo[w] = old[w]
+                        self.used += 200 + 2 * len(w) + len(old[w])
+                    else:
+                        new[w] = None
         for w in new:
             block.append(w)
             size += len(w)
@@ -281,16 +403,11 @@ class Matcher:
                 block, size = [], 0
         if block:
             self.encode_words(block)
-        out = []
-        for parts in split:
-            ids: list[int] = []
-            for w in parts:
-                ids += memo[w]
-            out.append(ids)
-        return out
+        return [np.frombuffer(b"".join(map(memo.__getitem__, parts)), np.int32) for parts in split]
 
     def decode(self, ids) -> str:
         """The text of ids: runs of byte pieces are UTF-8, spaces are restored, the first one is dropped."""
+        ids = ids.tolist() if isinstance(ids, np.ndarray) else ids
         if self.high_bytes.isdisjoint(ids):
             text = "".join(map(self.plain.__getitem__, ids))
         else:
@@ -309,6 +426,19 @@ class Matcher:
         return (text[1:] if text.startswith(SPACE) else text).replace(SPACE, " ")
 
 
+def portions(texts: list[str | None], most_chars: int) -> Iterator[list[str | None]]:
+    """The texts in runs of at most so many characters (one text at least)."""
+    part, size = [], 0
+    for t in texts:
+        if part and size + len(t or "") > most_chars:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t or "")
+    if part:
+        yield part
+
+
 _matchers: dict[str, Matcher] = {}
 
 
@@ -333,10 +463,9 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text_col: str = "text",
         m = matcher(model)
         for s in parts:
             rows, same = [], []
-            for at in range(0, len(s), 64):
-                texts = [t if isinstance(t, str) else None for t in s.iloc[at : at + 64]]
+            for texts in portions([t if isinstance(t, str) else None for t in s], 8 * BATCH_CHARS):
                 ids = m.encode(texts)
-                rows += [np.array(x, np.int32) for x in ids]
+                rows += ids
                 same += [m.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)] if check_col else [None] * len(ids)
             yield pd.DataFrame({"ids": rows, "same": same})
 

@@ -236,7 +236,7 @@ def test_spm_equals_the_library(spark):
     m = spm.matcher(spm.DEFAULT_MODEL)
     got = m.encode(texts)
     for g, t in zip(got, texts, strict=True):
-        assert g == sp.encode(t), t[:80]
+        assert g.tolist() == sp.encode(t), t[:80]
     assert all(m.decode(g) == t for g, t in zip(got, texts, strict=True) if "▁" not in t)
 
 
@@ -267,7 +267,55 @@ def test_spm_unigram_best_path():
         return best[len(w)][1]
 
     for w in ("ababab", "bab", "abba", "aab"):
-        assert m.encode([w])[0] == force("▁" + w)
+        assert m.encode([w])[0].tolist() == force("▁" + w)
+
+
+def test_spm_huge_words_equal_the_library(monkeypatch):
+    """Words that are indexed in blocks, with a memory that forgets after every batch."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=spm.DEFAULT_MODEL)
+    rng = np.random.default_rng(6)
+    letters = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    words = ["x" * 1001, "-" * 1037, "ab" * 700, letters("abcdefghijklmnopqrstuvwxyz", 3000), letters("esatinr", 4000), letters("ab日é\U0001f600=", 1500), "=" * 300 + "tion" * 200 + "-" * 77]
+    monkeypatch.setattr(spm, "HUGE", 100)
+    m = spm.Matcher(spm.Vocabulary.read(spm.DEFAULT_MODEL), memory=1000, batch_chars=256)
+    texts = [*words, " ".join(words), "a b " + words[3] + " c", *words]
+    for at in range(0, len(texts), 2):
+        for g, t in zip(m.encode(texts[at : at + 2]), texts[at : at + 2], strict=True):
+            assert g.tolist() == sp.encode(t), t[:40]
+            assert m.decode(g) == t
+    assert m.relax_bpe_huge("▁" + words[4]) is not None
+
+
+def test_spm_memory_is_bounded():
+    """A word of five million letters and many new words, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+from deltaweave.llm import spm
+m = spm.matcher(spm.DEFAULT_MODEL)
+r = random.Random(1)
+for k in range(20):
+    m.encode([" ".join("".join(r.choices("etaoinshrdlu", k=9)) for _ in range(2000)) for _ in range(8)])
+ids = m.encode(["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=5_000_000))])[0]
+print(len(ids), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), timeout=600).stdout.split()
+    assert int(out[0]) > 1_000_000 and int(out[1]) < 600, out
+
+
+def test_spm_model_with_another_normaliser_is_an_error(tmp_path):
+    with open(spm.DEFAULT_MODEL, "rb") as f:
+        whole = f.read()
+    field = lambda n, body: bytes([n << 3 | 2]) + bytes([len(body) & 127 | 128, len(body) >> 7]) + body
+    other = tmp_path / "other.model"
+    other.write_bytes(whole + field(3, b"\x18\x00"))
+    assert len(spm.fields(whole)[1]) == 32_000
+    with pytest.raises(ValueError, match="keep text"):
+        spm.Vocabulary.read(str(other))
 
 
 # ---------------------------------------------------------------- classifiers
