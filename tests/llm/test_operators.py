@@ -125,18 +125,45 @@ def test_ann_few_rows(spark):
     assert ann.nearest(d.limit(0), d).count() == 0 and ann.nearest(d, d.limit(0)).count() == 0
 
 
-def test_ann_scan_loses_no_neighbour():
-    """Random, clustered and off-centre vectors: the scan of a list equals brute force, whatever bar it starts from."""
+def test_ann_scan_loses_few_neighbours():
+    """Random, clustered and off-centre vectors, and lengths of all sizes: next to brute force with a bar of the k-th best, all
+    without one."""
     rng = np.random.default_rng(4)
-    turn = np.linalg.qr(rng.standard_normal((64, 64)))[0]
     around = rng.standard_normal((20, 64))
-    for x in (rng.standard_normal((3000, 64)), around[rng.integers(0, 20, 3000)] + 0.3 * rng.standard_normal((3000, 64)), 5 + rng.standard_normal((3000, 64))):
-        xr = x @ turn
-        for q in x[:40]:
-            want = np.sort(x @ q)[::-1][:21]
-            for least in (-np.inf, want[20] - 1e-9):
-                alive, score = ann.scan(q, q @ turn, ann.rests((q @ turn)[None])[0], x, xr, ann.rests(xr), 21, least=least)
-                assert np.allclose(np.sort(score)[::-1][:21], want) and len(set(alive)) == len(alive)
+    tables = (rng.standard_normal((3000, 64)), around[rng.integers(0, 20, 3000)] + 0.3 * rng.standard_normal((3000, 64)), 5 + rng.standard_normal((3000, 64)), rng.standard_normal((3000, 64)) * rng.lognormal(0, 1, (3000, 1)))
+    for x in tables:
+        turn = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+        q = x[:100]
+        want = np.sort(q @ x.T, 1)[:, ::-1][:, :21]
+        i, j, s = ann.scan(q @ turn, x @ turn, np.full(100, -np.inf), 3.0)
+        assert len(i) == 300_000 and np.allclose(s, (q @ x.T)[i, j])
+        i, j, s = ann.scan(q @ turn, x @ turn, want[:, 20], 3.0)
+        assert np.allclose(s, (q @ x.T)[i, j]) and 2100 * 0.98 <= len(s) <= 2100
+
+
+def test_ann_prunes_lists_and_keeps_recall(spark):
+    """140 lists; of clustered vectors few are probed.  All queries with an id divisible by 20, against brute force."""
+    rng = np.random.default_rng(12)
+    around = rng.standard_normal((300, 32))
+    x = around[rng.integers(0, 300, 20_000)] + 0.25 * rng.standard_normal((20_000, 32))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("list", F.lit("clash")).withColumn("qid", F.lit(0))
+    seen, packed = [], ann.packed
+    ann.packed = lambda count: seen.append(len(count)) or packed(count)
+    try:
+        got = defaultdict(set)
+        for r in ann.nearest(d, d.where("vec_id % 20 = 0")).collect():
+            got[r.query_id].add(r.vec_id)
+    finally:
+        ann.packed = packed
+    want = brute(rows, 20)
+    assert seen == [141] and got.keys() == want.keys()
+    assert sum(len(got[i] & {v for v, _ in want[i]}) for i in want) / sum(map(len, want.values())) >= 0.93
+
+
+def test_ann_cells():
+    first, parts = ann.packed(np.array([10, 4000, 100, 0, 9000, 5, 4096]))
+    assert first.tolist() == [0, 0, 1, 1, 2, 5, 6] and parts.tolist() == [1, 1, 1, 1, 3, 1, 1]
 
 
 # ---------------------------------------------------------------- near duplicates
