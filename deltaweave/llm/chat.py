@@ -10,7 +10,8 @@ over many tasks.  With `room` = budget - history - system tokens, a turn falls i
 start prefix; where a bucket's last turn would exceed the room it becomes a window of its own.  A
 window thus holds at most `room` new tokens, or one single turn that is longer than that.  Each window
 repeats the system turn and the turns before it that fit in `history` tokens whole; repeated turns are never
-under the loss mask, so each assistant text is a target exactly once.
+under the loss mask, so each assistant text is a target exactly once.  A system turn that takes more than half of
+budget - history would leave no room for new turns: it stands in its place like any other turn and is not repeated by force.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def windows(conversations: DataFrame, budget: int = 2048, history: int = 256, to
     seg = F.concat(F.lit(START), F.replace(escaped(F.col("role")), F.lit("\n"), F.lit("&#10;")), F.lit("\n"), escaped(F.col("text")), F.lit(END))
     light = raw.select("conv", "turn", "role", "rid", F.struct("turn", "role", F.xxhash64("text"), "rid").alias("ord"), tokens(seg).alias("n"), F.length(seg).alias("seg_len"), F.length(escaped(F.col("text"))).alias("body_len"))
     heads = light.groupBy("conv").agg(F.min_by(F.struct("role", "ord", "seg_len", "n", "rid"), "ord").alias("head"))
-    heads = heads.select(F.col("conv").alias("hc"), F.when(F.col("head.role") == "system", F.col("head")).alias("sys"))
+    heads = heads.select(F.col("conv").alias("hc"), F.when((F.col("head.role") == "system") & (F.col("head.n") <= (budget - history) // 2), F.col("head")).alias("sys"))
     turns = prefix_sums(light).join(heads, F.col("conv").eqNullSafe(F.col("hc"))).drop("hc")
     room = F.greatest(F.lit(budget - history) - F.coalesce("sys.n", F.lit(0)), F.lit(1))
     turns = turns.withColumn("room", room).withColumn("k", F.floor(F.col("start") / F.col("room")))

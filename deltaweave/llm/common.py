@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that setting is absent (tests)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that setting is absent and Spark runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="deltaweave-")
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(__import__("shutil").rmtree, found, ignore_errors=True)

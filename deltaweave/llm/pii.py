@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 from .common import drop_materialised, materialise
 
 #: Titles by gender.
-MALE = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "господин", "Господин"]
-FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "госпожа", "Госпожа"]
-TITLE = "(?:" + "|".join(sorted(MALE + FEMALE, key=len, reverse=True)) + r")\.? "
+MALE = ["Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Sr", "Don", "Signor", "господин", "Господин"]
+FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Doña", "Signora", "госпожа", "Госпожа"]
+#: Titles of either gender; the surrogate is a name of either gender too.
+EITHER = ["Dr", "Prof", "Professor", "Doctor", "Doctora", "доктор", "профессор"]
+TITLE = "(?:" + "|".join(sorted(MALE + FEMALE + EITHER, key=len, reverse=True)) + r")\.? "
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 SEP = "[ .-]?"
 SSN = r"\d{3}-\d{2}-\d{4}(?![\d-])"
@@ -45,14 +47,14 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}}){TITLE}\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text without any of these has no entity.
-HINT = rf"[0-9@]|{TITLE}"
+#: A text without any of these has no entity: all kinds but names and three secrets need a digit or an @.
+HINT = rf"[0-9@]|{TITLE}|sk-|A[KS]IA|gh[pousr]_"
 
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 CYR_LOWER, CYR_UPPER = "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"
 #: Syllables for invented names: onset and core by script.
 SYLLABLES = {"l": ["bel", "cor", "dal", "fen", "gar", "hol", "jas", "kel", "lor", "mar", "nev", "pol", "quin", "ros", "sel", "tam", "ul", "vel", "wil", "zan"], "c": ["бел", "вор", "гал", "дор", "жан", "зор", "кал", "лем", "мир", "нел", "пав", "рад", "сел", "тим", "фед", "яр"]}
-ENDINGS = {"given_m:l": "o", "given_f:l": "a", "surname:l": "er", "given_m:c": "ан", "given_f:c": "а", "surname_m:c": "ов", "surname_f:c": "ова"}
+ENDINGS = {"given_m:l": "o", "given_f:l": "a", "given_e:l": "i", "surname:l": "er", "given_m:c": "ан", "given_f:c": "а", "given_e:c": "и", "surname_m:c": "ов", "surname_f:c": "ова", "surname_e:c": "енко"}
 
 
 def kind_of(m: str) -> str:
@@ -70,7 +72,8 @@ def components(m: Column) -> Column:
     def one(k: str, norm: str) -> str:
         return f"array(named_struct('kind', {k}, 'norm', {norm}))"
 
-    gender = "CASE WHEN m rlike {} THEN 'f' ELSE 'm' END".format(quoted("^(?:" + "|".join(FEMALE) + r")\.? "))
+    of = lambda titles: quoted("^(?:" + "|".join(titles) + r")\.? ")
+    gender = f"CASE WHEN m rlike {of(FEMALE)} THEN 'f' WHEN m rlike {of(EITHER)} THEN 'e' ELSE 'm' END"
     script = r"CASE WHEN m rlike '\\p{IsCyrillic}+$' THEN 'c' ELSE 'l' END"
     parts = f"split(regexp_replace(m, {quoted('^' + TITLE)}, ''), ' ')"
     last = f"CASE WHEN {script} = 'c' THEN concat('surname_', {gender}, ':c') ELSE 'surname:l' END"
@@ -130,7 +133,7 @@ def drawn(entities: DataFrame, key: str, attempt: int) -> DataFrame:
 
     def invented(script: str) -> str:
         table = "array(" + ", ".join(f"'{s}'" for s in SYLLABLES[script]) + ")"
-        return f"initcap(concat({', '.join(f'element_at({table}, {byte(str(i))} % {len(SYLLABLES[script])} + 1)' for i in (1, 2, 3, 4))}, CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ENDINGS.items() if k.endswith(script)) + " END))"
+        return f"initcap(concat({', '.join(f'element_at({table}, {byte(str(i))} % {len(SYLLABLES[script])} + 1)' for i in range(1, 3 + attempt // 2))}, CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ENDINGS.items() if k.endswith(script)) + " END))"
 
     e = e.withColumn("sur", F.expr(f"""CASE WHEN kind = 'email' THEN {email} WHEN kind = 'hex' THEN {mapped('norm', hexadecimal=True)}
         WHEN kind = 'secret' THEN concat(regexp_extract(norm, '^(AKIA|ASIA|gh[a-z]_|sk-)', 1), {mapped("regexp_replace(norm, '^(AKIA|ASIA|gh[a-z]_|sk-)', '')")})
@@ -144,7 +147,8 @@ def assign(entities: DataFrame, key: str, most_rounds: int = 40) -> DataFrame:
     """(kind, norm, sur) for distinct entities: one to one within a family of kinds.
 
     In the first eight rounds no surrogate may be an entity's normal form; later rounds, which only a
-    crowded format needs, ask for distinctness alone (and never give an entity itself)."""
+    crowded format needs, ask for distinctness alone (and never give an entity itself).  Invented names begin with two syllables and
+    get one more every other round, so that they never run out."""
     family = F.substring_index("kind", ":", 1)
     entities = materialise(entities.distinct(), "pii-entities")
     real = entities.select(family.alias("f"), F.lower("norm").alias("s")).distinct()
@@ -181,7 +185,9 @@ def surrogates(docs: DataFrame, key: str = "surrogate-key", text_col: str = "tex
 
     Texts without entities, null and empty texts come back as they are.  Repeated rows get equal results.
     An entity in two layouts has one surrogate in both; a name keeps its title, and
-    each of its parts is an entity.  Columns may have any name that does not begin with `__pii`.
+    each of its parts is an entity; where a text names a part again without a title, in the same letters (and over two of them), it
+    is replaced there too (not in a stretch that holds the private character U+E000).  After a title without gender the surrogate
+    has none, and so is another one than after Mr. or Mrs.  Columns may have any name that does not begin with `__pii`.
     """
     text = F.col(text_col)
     if kinds_col:
@@ -199,9 +205,15 @@ def surrogates(docs: DataFrame, key: str = "surrogate-key", text_col: str = "tex
     met = occ.join(mapping, ["kind", "norm"])
     each = met.groupBy("__pii_row", "p", "m", "k").agg(F.transform(F.array_sort(F.collect_list(F.struct("q", "sur"))), lambda x: x["sur"]).alias("s"))
     each = each.withColumnRenamed("k", "kind").withColumn("new", laid_out())
-    lists = each.groupBy("__pii_row").agg(F.array_sort(F.collect_list(F.struct("p", "new", "kind"))).alias("__pii_new"))
+    bare = f"split(regexp_replace(m, {quoted('^' + TITLE)}, ''), ' ')"
+    parts = F.expr(f"CASE WHEN kind = 'name' THEN transform({bare}, (x, i) -> named_struct('part', x, 'sur', CASE WHEN x = upper(x) THEN upper(s[i]) ELSE s[i] END)) ELSE array() END")
+    lists = each.groupBy("__pii_row").agg(F.array_sort(F.collect_list(F.struct("p", "new", "kind"))).alias("__pii_new"), F.array_distinct(F.flatten(F.collect_list(parts))).alias("__pii_names"))
     back = some.join(lists, "__pii_row")
-    back = back.withColumn("__pii_pieces", F.split(text, ENTITY, -1))
+    # a name's parts are replaced where they stand without a title too, each place once: what has been put in is marked until the end
+    again = r"aggregate(filter(__pii_names, n -> length(n.part) > 2), x, (t, n) -> regexp_replace(t, concat('(?<![\\p{L}\\p{N}\ue000])', n.part, '(?![\\p{L}\\p{N}])'), concat('\ue000', n.sur)))"
+    pieces = F.split(text, ENTITY, -1)
+    named = F.expr(f"transform(__pii_pieces, x -> CASE WHEN contains(x, '\ue000') THEN x ELSE replace({again}, '\ue000', '') END)")
+    back = back.withColumn("__pii_pieces", pieces).withColumn("__pii_pieces", F.when(F.size("__pii_names") > 0, named).otherwise(F.col("__pii_pieces")))
     joined = F.expr("concat(__pii_pieces[0], array_join(transform(__pii_new, x -> concat(x.new, element_at(__pii_pieces, x.p + 2))), ''))")
     back = back.withColumn(text_col, joined)
     if kinds_col:

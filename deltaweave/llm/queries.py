@@ -95,8 +95,8 @@ WITH t AS (
 ), n AS (SELECT *, greatest(cast(ceil(strlen(seg) / 4) AS BIGINT), 1) AS n, length(seg) AS sl FROM e),
 s AS (
   SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY rn) - n AS start,
-    max(CASE WHEN rn = 1 AND role = 'system' THEN n END) OVER (PARTITION BY conv_id) AS sysn,
-    max(CASE WHEN rn = 1 AND role = 'system' THEN sl END) OVER (PARTITION BY conv_id) AS sysl FROM n
+    max(CASE WHEN rn = 1 AND role = 'system' AND n <= 896 THEN n END) OVER (PARTITION BY conv_id) AS sysn,
+    max(CASE WHEN rn = 1 AND role = 'system' AND n <= 896 THEN sl END) OVER (PARTITION BY conv_id) AS sysl FROM n
 ), r AS (SELECT *, greatest(1792 - coalesce(sysn, 0), 1) AS room FROM s),
 k AS (SELECT *, start // room AS k FROM r),
 m AS (SELECT *, min(start) OVER (PARTITION BY conv_id, k) AS s0 FROM k),

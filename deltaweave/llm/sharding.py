@@ -7,7 +7,8 @@ buckets stand one after the other; a record's place in that order gives its shar
 is `rows`: sizes of shards differ by one at most.
 
 The number of buckets grows with the bytes, the size of a bucket does not.  A hot text or source does not
-matter, as the hash covers doc_id too; ids that repeat over `HOT_ID` times are parted by row numbers.
+matter, as the hash covers doc_id too.  Of ids that repeat over `HOT_ID` times equal rows are counted first, and the copies are then
+numbered, so that they are parted without meeting in one task and the result depends on rows and seed alone.
 """
 
 from __future__ import annotations
@@ -36,9 +37,11 @@ def shuffle_to_buckets(docs: DataFrame, seed: int, bucket_bytes: int, id_col: st
     hot = docs.groupBy(id_col).count().where(F.col("count") > HOT_ID).select(F.col(id_col).alias("__hot"))
     columns = docs.columns
     if hot.take(1):
-        docs = docs.withColumn("__row", F.monotonically_increasing_id()).join(hot, F.col(id_col).eqNullSafe(F.col("__hot")) & F.lit(True), "left")
-        repeated = F.col("__hot").isNotNull() | F.col(id_col).isNull()
-        hashed.append(F.when(repeated, F.col("__row")))
+        often = docs.join(hot, F.col(id_col).eqNullSafe(F.col("__hot")), "left_semi").groupBy(*columns).count()
+        often = often.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), "count")).alias("__copy"))
+        rest = docs.join(hot, F.col(id_col).eqNullSafe(F.col("__hot")), "left_anti").withColumn("__copy", F.lit(0).cast("long"))
+        docs = rest.unionByName(often)
+        hashed.append(F.when(F.col("__copy") > 0, F.xxhash64("__copy", *columns)))
     record = F.struct(F.xxhash64(F.lit(~seed), F.col(id_col), F.col(text_col)).alias("k"), F.struct(*columns).alias("r"))
     scattered = docs.select(F.pmod(F.xxhash64(*hashed), F.lit(n)).cast("int").alias("__bucket"), record.alias("rec")).repartitionById(n, F.col("__bucket"))
     gathered = scattered.groupBy("__bucket").agg(F.collect_list("rec").alias("all"))

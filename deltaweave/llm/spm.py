@@ -27,7 +27,7 @@ PRETOKEN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Words over LONG are contracted one by one, shorter ones side by side; words over HUGE are indexed in blocks.
 LONG, HUGE = 48, 20_000
 #: Bytes of remembered words in each of two generations, and characters that are indexed at once, in a worker.
-MEMORY, BATCH_CHARS = 48 << 20, 1 << 16
+MEMORY, BATCH_CHARS = 32 << 20, 1 << 16
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -131,17 +131,18 @@ class Matcher:
         width, n = self.v.longest, len(symbols)
         padded = np.concatenate([symbols, np.zeros(width, np.uint16)])
         # suffix array up to `width` symbols by prefix doubling
-        order, rank, step = None, symbols.astype(np.int64), 1
+        four = padded.astype(np.uint64)
+        pair, step = sum(four[k : k + n] << np.uint64(16 * (3 - k)) for k in range(min(4, width))), 4
         while True:
-            after = np.concatenate([rank[step:], np.full(min(step, n), -1)])[:n]
-            pair = (rank + 1) * (int(rank.max(initial=0)) + 3) + after + 1
             order = np.argsort(pair, kind="stable")
             bounds = np.concatenate([[0], (np.diff(pair[order]) != 0).cumsum()]) if n else np.zeros(0, np.int64)
             rank = np.empty(n, np.int64)
             rank[order] = bounds
-            step *= 2
             if step >= width or (n and bounds[-1] == n - 1):
                 break
+            after = np.concatenate([rank[step:], np.full(min(step, n), -1)])[:n]
+            pair = rank * (n + 1) + after + 1
+            step *= 2
         suffixes = self.keys(np.lib.stride_tricks.sliding_window_view(padded, width)[:n][order])
         first = np.searchsorted(suffixes, self.low, side="left")
         last = np.searchsorted(suffixes, self.high, side="right")
@@ -178,7 +179,7 @@ class Matcher:
                 self.remember(w, ids)
 
     def remember(self, word: str, ids) -> None:
-        self.memo[word] = packed = np.array(ids, np.int32).tobytes()
+        self.memo[word] = packed = ids if isinstance(ids, bytes) else np.array(ids, np.int32).tobytes()
         self.used += 200 + 2 * len(word) + len(packed)
 
     def relax_bpe_huge(self, word: str) -> np.ndarray | None:
@@ -286,7 +287,7 @@ class Matcher:
             return [self.v.bytes[b] for b in char.encode()]
         return [self.v.unk]
 
-    def relax_bpe(self, words, at, length, piece, starts) -> list[list[int]]:
+    def relax_bpe(self, words, at, length, piece, starts) -> list[bytes]:
         n, span = int(starts[-1]), self.v.longest + 1
         key = at * span + length
         right = np.arange(1, n + 1)  # end of the symbol that begins here
@@ -310,6 +311,7 @@ class Matcher:
             out[ok[good]] = score[p[good]]
             return out
 
+        final = np.ones(n, bool)  # where a symbol begins
         live = np.arange(n)
         gain = value(live) if n else np.zeros(0)
         open_ = np.flatnonzero(gain > -np.inf)
@@ -329,32 +331,26 @@ class Matcher:
             e = right[mid]
             right[s] = e
             full[mid] = -np.inf
+            final[mid] = False
             inside = e < last[s]
             left[e[inside]] = s[inside]
             full[s] = value(s)
             before = s[s > begin[s]]
             before = left[before]
             full[before] = value(before)
-        out = []
         # one lookup for all final symbols
-        pos, finals = 0, []
-        right_list = right.tolist()
-        while pos < n:
-            finals.append(pos)
-            pos = right_list[pos]
-        f = np.array(finals, np.int64)
-        k = f * span + (right[f] - f) if n else f
+        f = np.flatnonzero(final)
+        k = f * span + (right[f] - f)
         p = np.searchsorted(key, k)
         p[p == len(key)] = 0
-        got = np.where(key[p] == k, piece[p], -1) if len(key) else np.full(len(f), -1)
-        counts = np.searchsorted(f, starts)
-        ids = got.tolist()
-        for i, w in enumerate(words):
-            a, b = counts[i], counts[i + 1]
-            own = ids[a:b]
-            if -1 in own:
-                own = [x for j, v in zip(f[a:b].tolist(), own, strict=True) for x in ([v] if v >= 0 else self.fallback(w[j - int(starts[i])]))]
-            out.append(own)
+        got = np.where(key[p] == k, piece[p], -1).astype(np.int32) if len(key) else np.full(len(f), -1, np.int32)
+        bounds = np.searchsorted(f, starts).tolist()
+        packed = got.tobytes()
+        out = [packed[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        for i in np.unique(word[f[got < 0]]).tolist():  # characters in no piece
+            a, b = bounds[i], bounds[i + 1]
+            own = [x for j, v in zip(f[a:b].tolist(), got[a:b].tolist(), strict=True) for x in ([v] if v >= 0 else self.fallback(words[i][j - int(starts[i])]))]
+            out[i] = np.array(own, np.int32).tobytes()
         return out
 
     def relax_unigram(self, words, at, length, piece, starts) -> list[list[int]]:

@@ -130,10 +130,12 @@ def held_out(doc_id: Column, modulus: int, remainder: int) -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, max_rows: int) -> DataFrame:
     """The fitting rows (doc_id, text, y): labelled, usable, at most max_rows.  The label table is cut to its
-    bound first and broadcast (under 1 MB), so no text is shuffled."""
+    bound first and broadcast (under 1 MB), so only these rows' texts are shuffled.  Of a repeated doc_id the text with the smallest
+    hash counts."""
     chosen = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & usable).groupBy("doc_id").agg(F.max(label).cast("double").alias("__y"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("__y").alias("y"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id", F.col("__y").alias("y")).agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("doc_id", "text", "y")
 
 
 def learn_terms(rows: DataFrame, least: int = 4, strength: float = 12.0) -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
@@ -203,10 +205,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     got = rows.mapInPandas(dense, "doc_id long, y double, x array<double>").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(got.x.tolist(), dtype=float).reshape(len(got), len(NAMES))
     y = got.y.to_numpy()
-    part = pd.util.hash_array(got.doc_id.to_numpy().astype("int64")) % 4 == 3
-    base, trees = gbt.fit_trees(x[~part], y[~part])
-    cal = part if part.sum() >= 200 else np.ones(len(y), bool)
-    return Model(both, base, trees, gbt.isotonic(gbt.margin(base, trees, x[cal]), y[cal]))
+    # calibrated on margins of trees that have not seen the row: four folds, at every size
+    fold = pd.util.hash_array(got.doc_id.to_numpy().astype("int64")) % 4
+    apart = np.zeros(len(y))
+    for k in range(4):
+        apart[fold == k] = gbt.margin(*gbt.fit_trees(x[fold != k], y[fold != k]), x[fold == k])
+    return Model(both, *gbt.fit_trees(x, y), gbt.isotonic(apart, y))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, score_col: str = "score", flag_col: str = "predicted") -> DataFrame:
