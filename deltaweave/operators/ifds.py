@@ -1,59 +1,15 @@
-"""IFDS tabulation over relations; identity edge functions, context by entry fact.
-
-Relations: succ(n, m); call(n, f); ret(n, r); entry(f, s); exit(f, x); the flow functions as pairs
-normal(n, m, d, e), enter(n, f, d, e), leave(n, f, x, r, d, e), around(n, r, d, e).  A missing pair kills a fact.
-"""
+"""IFDS tabulation: IDE without values."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from ..plans.storage import stored
-
 
-@dataclass
-class Problem:
-    entry: DataFrame
-    exit: DataFrame
-    normal: DataFrame
-    enter: DataFrame
-    leave: DataFrame
-    around: DataFrame
+from . import ide
+from .ide import Options, Problem
 
+__all__ = ["Options", "Problem", "solve"]
 
-def solve(p: Problem, seeds: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """Path edges (d1, n, d2) reachable from seeds (n, d), each with the self-loop (d, n, d).
 
-    Per round: normal and call-to-return flow of the new path edges; new calls (incoming) with old
-    summaries and new summaries with all incoming calls; new path edges at known calls with old summaries."""
-    spark = seeds.sparkSession
-    path = stored(seeds.selectExpr("d as d1", "n", "d as d2").distinct())
-    delta = path
-    incoming = spark.createDataFrame([], "s long, d3 string, n long, d2 string, f string")
-    ends = spark.createDataFrame([], "s long, d3 string, f string, x long, d4 string")
-    for _ in range(max_rounds):
-        d = delta
-        go = d.join(p.normal, (d.n == p.normal.n) & (d.d2 == p.normal.d)).select("d1", F.col("m").alias("n"), F.col("e").alias("d2"))
-        skip = d.join(p.around, (d.n == p.around.n) & (d.d2 == p.around.d)).select("d1", F.col("r").alias("n"), F.col("e").alias("d2"))
-        new_in = d.join(p.enter, (d.n == p.enter.n) & (d.d2 == p.enter.d)).join(p.entry, "f").select("s", F.col("e").alias("d3"), d.n, "d2", "f").distinct()
-        new_in = stored(new_in.join(incoming, ["s", "d3", "n", "d2", "f"], "left_anti"))
-        start = new_in.select(F.col("d3").alias("d1"), F.col("s").alias("n"), F.col("d3").alias("d2"))
-        done = p.exit.join(p.entry, "f").select("f", F.col("x"), "s")
-        new_end = d.join(done, d.n == done.x).select("s", F.col("d1").alias("d3"), "f", "x", F.col("d2").alias("d4")).distinct()
-        new_end = stored(new_end.join(ends, ["s", "d3", "f", "x", "d4"], "left_anti"))
-        all_in = incoming.unionByName(new_in)
-        again = incoming.join(d, ["n", "d2"], "left_semi")  # a call that another entry fact reached before
-        met = new_in.unionByName(again).join(ends, ["s", "d3", "f"]).unionByName(all_in.join(new_end, ["s", "d3", "f"])).select("n", "d2", "f", "x", "d4")
-        back = met.join(p.leave.withColumnRenamed("d", "d4"), ["n", "f", "x", "d4"]).select("n", "d2", "r", "e")
-        both = path
-        back = back.join(both, ["n", "d2"]).select("d1", F.col("r").alias("n"), F.col("e").alias("d2"))
-        fresh = go.unionByName(skip).unionByName(start).unionByName(back).distinct()
-        delta = stored(fresh.join(path, ["d1", "n", "d2"], "left_anti"))
-        incoming, ends = all_in, ends.unionByName(new_end)
-        if not delta.take(1):
-            return path
-        path = path.unionByName(delta)
-    raise RuntimeError("no fixpoint")
+def solve(p: Problem, seeds: DataFrame, max_rounds: int = 10_000, **options) -> DataFrame:
+    """Path edges (d1, n, d2) reachable from seeds (n, d), each with the self-loop (d, n, d)."""
+    return ide.solve(p, seeds, options=Options(max_rounds=max_rounds, **options)).select("d1", "n", "d2").distinct()
