@@ -38,14 +38,19 @@ def operation(op: str | Column, c: Column | int | None = None, left: bool | Colu
 
 def evaluated(ops: Column, x: Column) -> Column:
     """The value after all steps; null is bottom (any value).  Overflow, division by zero and unknown steps give bottom."""
-    def step(acc: Column, o: Column) -> Column:
-        a, b = F.when(o["left"], o["c"]).otherwise(acc), F.when(o["left"], acc).otherwise(o["c"])
-        out = F.lit(None).cast("bigint")
-        known = {"+": F.try_add(a, b), "-": F.try_subtract(a, b), "*": F.try_multiply(a, b), "/": F.call_function("div", a, F.nullif(b, F.lit(0))), "%": F.when(b != 0, a % F.nullif(b, F.lit(0))), "&": a.bitwiseAND(b), "|": a.bitwiseOR(b), "^": a.bitwiseXOR(b), "const": o["c"]}
+    def outcome(op: Column, c: Column, p: Column) -> Column:
+        a, b = p["a"], p["b"]
+        whole = F.nullif(b, F.lit(0))
+        known = {"+": F.try_add(a, b), "-": F.try_subtract(a, b), "*": F.try_multiply(a, b), "/": F.call_function("div", a, whole), "%": a % whole, "&": a.bitwiseAND(b), "|": a.bitwiseOR(b), "^": a.bitwiseXOR(b), "const": c}
+        out = None
         for name, value in known.items():
-            out = F.when(o["op"] == name, value).otherwise(out)
+            out = F.when(op == name, value) if out is None else out.when(op == name, value)
         return out
 
+    def step(acc: Column, o: Column) -> Column:
+        operands = F.struct(F.when(o["left"], o["c"]).otherwise(acc).alias("a"), F.when(o["left"], acc).otherwise(o["c"]).alias("b"))
+        return F.transform(F.array(operands), lambda p: outcome(o["op"], o["c"], p))[0]
+
     return F.aggregate(ops, x.cast("bigint"), step)
 
 
@@ -55,8 +60,8 @@ def arithmetic() -> Semiring:
     fixed = lambda f: (F.size(f) > 0) & f[0]["op"].isin("const", "bot")
 
     def compose(a: Column, b: Column) -> Column:
-        v = evaluated(b, evaluated(a, F.lit(None)))
-        folded = F.when(v.isNull(), bottom).otherwise(operation("const", v))
+        # a constant goes through the steps of b; computed once
+        folded = F.transform(F.array(evaluated(b, a[0]["c"])), lambda v: F.when(v.isNull(), bottom[0]).otherwise(operation("const", v)[0]))
         return F.when(F.coalesce(fixed(b), F.lit(False)), b).when(F.coalesce(fixed(a), F.lit(False)), folded).otherwise(F.concat(a, b))
 
     agree = lambda c, other: F.when(F.min(c) == F.max(c), F.min(c)).otherwise(other)

@@ -69,3 +69,53 @@ def union(*parts: DataFrame) -> DataFrame:
 def zeroed(facts: DataFrame, flow) -> DataFrame:
     """`flow`, which never loses the zero fact."""
     return union(flow(facts), facts.where(F.col("d") == ZERO))
+
+
+def pairs(facts: DataFrame, table: DataFrame) -> DataFrame:
+    """Any distributive function, given as pairs (d, e)."""
+    return facts.join(table.select("d", "e"), "d").select(*[F.col("e").alias("d") if c == "d" else F.col(c) for c in facts.columns]).distinct()
+
+
+def composed(facts: DataFrame, *flows) -> DataFrame:
+    for f in flows:
+        facts = f(facts)
+    return facts
+
+
+def along_call_site(facts: DataFrame, args: DataFrame, pass_arg: Column | None = None, globals_pass: bool = True) -> DataFrame:
+    """Facts (n, d, ...) from a call to its return sites: zero passes, globals (`is_global`) on demand, arguments args(n, argno, value) by the
+    predicate (a condition on argno and value; none: all), other facts always."""
+    held = facts.join(args.select("n", F.col("value").alias("d"), "argno", F.lit(True).alias("is_arg")), ["n", "d"], "left").withColumn("value", F.col("d"))
+    fine = F.lit(True) if pass_arg is None else pass_arg
+    keep = F.when(F.col("d") == ZERO, True).when(F.col("is_global"), globals_pass).when(F.col("is_arg"), fine).otherwise(True)
+    return held.where(keep).select(*facts.columns).distinct()
+
+
+def to_callee(facts: DataFrame, args: DataFrame, params: DataFrame, callees: DataFrame) -> DataFrame:
+    """(n, fn, d): facts at calls as the callee sees them.  callees(n, fn, is_decl, is_vararg); args(n, argno, value, is_sret); params(fn, argno,
+    value).  Declarations get nothing; zero and globals pass; an actual becomes its formal, but for structure-return pairs; actuals beyond the
+    formals of a variadic function become its list, `va_list`."""
+    into = facts.join(callees.where("not is_decl"), "n")
+    same = into.where((F.col("d") == ZERO) | F.col("is_global")).select("n", "fn", "d")
+    met = into.join(args.where("not is_sret").select("n", "argno", F.col("value").alias("d")), ["n", "d"])
+    formal = met.join(params.select("fn", "argno", F.col("value").alias("formal")), ["fn", "argno"], "left")
+    mapped = formal.select("n", "fn", F.coalesce("formal", F.when(F.col("is_vararg"), F.lit("va_list"))).alias("d")).where("d is not null")
+    return same.unionByName(mapped).distinct()
+
+
+def to_caller(facts: DataFrame, args: DataFrame, params: DataFrame, callees: DataFrame, returned: DataFrame) -> DataFrame:
+    """(n, fn, d): facts (fn, d, is_global) at a function's end as its callers n see them: formals that are pointers (params.is_pointer)
+    become actuals, returned values (fn, d) the call itself, `call:n`; zero and globals pass."""
+    out = facts.join(callees.where("not is_decl").select("n", "fn"), "fn")
+    same = out.where((F.col("d") == ZERO) | F.col("is_global")).select("n", "fn", "d")
+    formal = out.join(params.where("is_pointer").select("fn", "argno", F.col("value").alias("d")), ["fn", "d"])
+    actual = formal.join(args.select("n", "argno", "value"), ["n", "argno"]).select("n", "fn", F.col("value").alias("d"))
+    result = out.join(returned.select("fn", "d"), ["fn", "d"]).select("n", "fn", F.concat(F.lit("call:"), F.col("n").cast("string")).alias("d"))
+    return same.unionByName(actual).unionByName(result).distinct()
+
+
+def strong_update_store(facts: DataFrame, pointer: Column, base: Column, generates: Column) -> DataFrame:
+    """A store: the pointer and its stripped base go; facts for which `generates` holds (the stored value, say) give the pointer too."""
+    out = F.when(generates, F.array(F.col("d"), pointer)).otherwise(F.array("d"))
+    kept = F.filter(out, lambda x: (x == pointer) & generates | ((x != pointer) & (x != base)))
+    return apply_sets(facts, kept)

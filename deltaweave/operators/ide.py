@@ -63,8 +63,8 @@ def solve(p: Problem, seeds: DataFrame, ring: Semiring | None = None, options: O
     into = enter.join(p.entry, "f").select("n", F.col("d").alias("d2"), "f", F.col("s").alias("s2"), F.col("e").alias("d3"), F.col("ef").alias("g"))
     out = p.exit.join(p.entry, "f").select("f", F.col("x").alias("n"), "s")
     back = leave.select("n", "f", "x", F.col("r").alias("to"), F.col("d").alias("d4"), F.col("e").alias("d5"), F.col("ef").alias("h"))
-    path = stored(seeds.select(F.col("n").alias("s"), F.col("d").alias("d1"), "n", F.col("d").alias("d2"), ring.identity.alias("ef")).distinct())
-    delta = path
+    calling = bool(p.enter.take(1))
+    files = path = delta = stored(seeds.select(F.col("n").alias("s"), F.col("d").alias("d1"), "n", F.col("d").alias("d2"), ring.identity.alias("ef")).distinct())
 
     def calls(j: DataFrame) -> DataFrame:
         met = j.join(into, ["n", "d2"])
@@ -73,33 +73,34 @@ def solve(p: Problem, seeds: DataFrame, ring: Semiring | None = None, options: O
     def ends(j: DataFrame) -> DataFrame:
         return j.join(out, ["n", "s"]).select("f", F.col("s").alias("s2"), F.col("d1").alias("d3"), F.col("n").alias("x"), F.col("d2").alias("d4"), F.col("ef").alias("es"))
 
-    for n in range(o.max_rounds):
-        if o.on_round and not o.on_round(n, delta):
-            return path
-        on = delta.join(step, ["n", "d2"]).select("s", "d1", F.col("to").alias("n"), F.col("d3").alias("d2"), ring.compose(F.col("ef"), F.col("g")).alias("ef"))
+    both = ["f", "s2", "d3"]
+
+    def through_calls(path: DataFrame, delta: DataFrame) -> DataFrame:
         begun = delta.join(into, ["n", "d2"]).select(F.col("s2").alias("s"), F.col("d3").alias("d1"), F.col("s2").alias("n"), F.col("d3").alias("d2"), ring.identity.alias("ef"))
-        both = ["f", "s2", "d3"]
         met = calls(delta).join(ends(path), both).unionByName(calls(path).join(ends(delta), both))
         met = met.withColumnRenamed("c", "n").join(back, ["n", "f", "x", "d4"])
         home = met.select("s", "d1", F.col("to").alias("n"), F.col("d5").alias("d2"), ring.compose(ring.compose(F.col("ec"), F.col("es")), F.col("h")).alias("ef"))
-        fresh = on.unionByName(begun).unionByName(home)
+        return begun.unionByName(home)
+
+    for n in range(o.max_rounds):
+        if o.on_round and not o.on_round(n, delta):
+            return path
+        on = delta.join(step, ["n", "d2"]).select("s", "d1", F.col("to").alias("n"), F.col("d3").alias("d2"), ring.compose(F.col("ef"), F.col("g")).alias("ef"))
+        fresh = on
+        if calling:
+            fresh = fresh.unionByName(through_calls(path, delta))
         if o.unbalanced:
             alone = ends(path).join(calls(path).select(*both), both, "left_anti")
             past = alone.join(back, ["f", "x", "d4"])
             fresh = fresh.unionByName(past.select(F.col("to").alias("s"), F.col("d5").alias("d1"), F.col("to").alias("n"), F.col("d5").alias("d2"), ring.identity.alias("ef")))
-        fresh = fresh.groupBy(*KEY).agg(ring.join("ef").alias("new"))
-        old = path.withColumnRenamed("ef", "old").withColumn("known", F.lit(True))
-        both_ways = fresh.join(old, KEY, "left")
-        pair = both_ways.select(*KEY, "old", "known", F.explode(F.array_compact(F.array("new", "old"))).alias("ef"))
-        joined = pair.groupBy(*KEY).agg(ring.join("ef").alias("ef"), F.max("known").alias("known"), F.min("old").alias("old"))
-        changed = stored(joined.where("known is null or not (ef <=> old)").select(*KEY, "ef"))
-        if delta is not path:
-            dropped(delta)
-        if not changed.take(1):
+        # one pass: all jump functions with those that are new or have changed
+        was = path.withColumn("was", F.lit(True)).unionByName(fresh.withColumn("was", F.lit(False)))
+        joined = was.groupBy(*KEY).agg(ring.join("ef").alias("ef"), F.bool_or("was").alias("was"), F.min(F.when(F.col("was"), F.col("ef"))).alias("old"))
+        now = stored(joined.select(*KEY, "ef", (~F.col("was") | ~F.col("ef").eqNullSafe(F.col("old"))).alias("changed")))
+        dropped(files)
+        files, path, delta = now, now.drop("changed"), now.where("changed").drop("changed")
+        if not delta.take(1):
             return path
-        new = stored(path.join(changed, KEY, "left_anti").unionByName(changed))
-        dropped(path)
-        path, delta = new, changed
     raise RuntimeError(f"no fixpoint after {o.max_rounds} rounds")
 
 
@@ -108,8 +109,12 @@ def values(p: Problem, jumps: DataFrame, seeds: DataFrame, ring: Semiring, max_r
 
     Values go from start points through calls to the callees' starts until nothing changes, then to all points."""
     into = with_edges(p.enter, ring).join(p.entry, "f").select("n", F.col("d").alias("d2"), F.col("s").alias("s2"), F.col("e").alias("d3"), F.col("ef").alias("g"))
+    calling = bool(p.enter.take(1))
     at = stored(seeds.select(F.col("n").alias("s"), F.col("d").alias("d1"), "v").groupBy("s", "d1").agg(ring.value_join("v").alias("v")))
     delta = at
+    everywhere = lambda: at.join(jumps, ["s", "d1"]).select("n", F.col("d2").alias("d"), ring.apply(F.col("ef"), F.col("v")).alias("v")).groupBy("n", "d").agg(ring.value_join("v").alias("v"))
+    if not calling:
+        return everywhere()
     for _ in range(max_rounds):
         there = delta.join(jumps, ["s", "d1"]).join(into, ["n", "d2"])
         new = there.select(F.col("s2").alias("s"), F.col("d3").alias("d1"), ring.apply(F.col("g"), ring.apply(F.col("ef"), F.col("v"))).alias("v"))
@@ -119,7 +124,7 @@ def values(p: Problem, jumps: DataFrame, seeds: DataFrame, ring: Semiring, max_r
         changed = joined.where("met").join(before, ["s", "d1"], "left").where("not had or not (v <=> w)").select("s", "d1", "v")
         delta = stored(changed)
         if not delta.take(1):
-            return at.join(jumps, ["s", "d1"]).select("n", F.col("d2").alias("d"), ring.apply(F.col("ef"), F.col("v")).alias("v")).groupBy("n", "d").agg(ring.value_join("v").alias("v"))
+            return everywhere()
         at = stored(at.join(delta, ["s", "d1"], "left_anti").unionByName(delta))
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 

@@ -14,3 +14,9 @@ def get(store: DataFrame, s: str = "?", p: str = "?", o: str = "?") -> DataFrame
         if value != "?":
             store = store.where(store[name] == value)
     return store.select("s", "p", "o")
+
+
+def get_many(store: DataFrame, asked: DataFrame) -> DataFrame:
+    """The triples that agree with some row of `asked` in the columns (of s, p, o) that it has."""
+    on = [c for c in ("s", "p", "o") if c in asked.columns]
+    return store.join(asked.select(*on).distinct(), on, "left_semi").select("s", "p", "o")

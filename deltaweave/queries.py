@@ -149,7 +149,9 @@ def call_targets_rta(spark, d):
     return rta.unionByName(cha.join(rta.select("receiver").distinct(), "receiver", "left_anti")).select("receiver", "callee")
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, CASE event_type WHEN 'signup' THEN 'FOPEN' WHEN 'purchase' THEN 'FCLOSE' ELSE 'STAR' END AS token FROM events WHERE event_type IN ('signup', 'purchase', 'error')),
+ r(user_id, rn, state) AS (SELECT DISTINCT user_id, cast(0 AS BIGINT), 0 FROM e UNION ALL SELECT e.user_id, e.rn, (CASE token WHEN 'FOPEN' THEN [1, 1, 1, 3, 1] WHEN 'FCLOSE' THEN [3, 2, 3, 3, 4] ELSE [3, 1, 3, 3, 4] END)[state + 1] FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
+ SELECT user_id, max_by(state, rn) AS state FROM r GROUP BY 1""")
 def typestate_stdio(spark, d):
     """The stdio automaton over each user's events: signup opens, purchase closes, error is any other use."""
     e = table(spark, d, "events").withColumn("token", F.expr("CASE event_type WHEN 'signup' THEN 'FOPEN' WHEN 'purchase' THEN 'FCLOSE' ELSE 'STAR' END")).where("event_type in ('signup', 'purchase', 'error')")
