@@ -90,71 +90,62 @@ def components(m: Column) -> Column:
     return F.expr(sql)
 
 
-def byte(i: str) -> str:
-    return f"cast(conv(substring(h, 2 * ((({i}) - 1) % 128) + 1, 2), 16, 10) as int)"
-
-
-def mapped(text: str, at: int = 0, hexadecimal: bool = False) -> str:
-    """SQL: each letter or digit of `text` replaced by one of its class, other characters kept."""
-    c, b = f"substring({text}, i, 1)", byte(f"i + {at}")
-
-    def pick(alphabet: str) -> str:
-        return f"substring('{alphabet}', {b} % {len(alphabet)} + 1, 1)"
-
-    if hexadecimal:
-        cases = f"WHEN {c} rlike '[0-9a-f]' THEN {pick('0123456789abcdef')}"
-    else:
-        cases = f"WHEN {c} rlike '[0-9]' THEN {pick('0123456789')} WHEN {c} rlike '[a-z]' THEN {pick(LOWER)} WHEN {c} rlike '[A-Z]' THEN {pick(UPPER)} WHEN {c} rlike '[а-я]' THEN {pick(CYR_LOWER)} WHEN {c} rlike '[А-Я]' THEN {pick(CYR_UPPER)} WHEN {c} rlike '\\\\p{{Lu}}' THEN {pick(UPPER)} WHEN {c} rlike '\\\\p{{L}}' THEN {pick(LOWER)}"
-    return f"array_join(transform(sequence(1, greatest(length({text}), 1)), i -> CASE {cases} ELSE {c} END), '')"
-
-
 def luhn(digits: str) -> str:
     """SQL: the sum of Luhn's algorithm for digits that lack their check digit."""
-    d = f"cast(substring({digits}, length({digits}) - i + 1, 1) as int)"
-    return f"aggregate(sequence(1, length({digits})), 0, (a, i) -> a + CASE WHEN i % 2 = 0 THEN {d} WHEN {d} > 4 THEN 2 * {d} - 9 ELSE 2 * {d} END)"
+    d = "cast(substring(z, length(z) - i + 1, 1) as int)"
+    total = f"aggregate(sequence(1, length(z)), 0, (a, i) -> a + CASE WHEN i % 2 = 0 THEN {d} WHEN {d} > 4 THEN 2 * {d} - 9 ELSE 2 * {d} END)"
+    return f"transform(array({digits}), z -> {total})[0]"
 
 
 def drawn(entities: DataFrame, key: str, attempt: int) -> DataFrame:
-    """entities (kind, norm) plus `sur`, the surrogate of this attempt."""
+    """entities (kind, norm) plus `sur`, the surrogate of this attempt: `kept`, then `text` with each letter or digit replaced by one of
+    its class, as the bytes of a digest say (of the domain's own digest in an e-mail's host)."""
     def digest(what: str, salt: str) -> str:
         return f"sha2(concat_ws('|', {quoted(key)}, {what}, '{salt}'), 512)"
 
-    e = entities.withColumn("h", F.expr(f"concat({digest('kind, norm', attempt)}, {digest('kind, norm', f'{attempt}+')})"))
-    e = e.withColumn("domain", F.expr("substring_index(norm, '@', -1)")).withColumn("host", F.expr(r"regexp_replace(domain, '\\.[^.]*$', '')"))
-    e = e.withColumn("dh", F.expr(f"concat({digest('domain', 'domain')}, {digest('domain', 'domain+')})"))
-    email = f"concat({mapped('substring_index(norm, chr(64), 1)')}, '@', {mapped('host').replace('substring(h,', 'substring(dh,')}, substring(domain, length(host) + 1))"
-    octets = ", '.', ".join(f"1 + ({byte(str(2 * i + 1))} * 256 + {byte(str(2 * i + 2))}) % 254" for i in range(4))
-    card = f"concat(substring(norm, 1, 1), {mapped('substring(norm, 2)')})"
-    body = f"substring({card}, 1, length(norm) - 1)"
-    is_valid = f"({luhn('substring(norm, 1, length(norm) - 1)')} + cast(right(norm, 1) as int)) % 10 = 0"
-    checked = f"CASE WHEN {is_valid} THEN concat({body}, (10 - {luhn(body)} % 10) % 10) ELSE {card} END"
     cc = "cast(substring_index(kind, ':', -1) as int)"
-    phone = f"concat(substring(norm, 1, {cc}), {mapped(f'substring(norm, 1 + {cc})')})"
+    marks = "'^(AKIA|ASIA|gh[a-z]_|sk-)'"
+    e = entities.withColumns({
+        "h": F.expr(f"concat({digest('kind, norm', attempt)}, {digest('kind, norm', f'{attempt}+')})"),
+        "domain": F.expr("substring_index(norm, '@', -1)"),
+        "at": F.expr("CASE WHEN kind = 'email' THEN instr(norm, '@') ELSE 0 END"),
+        "kept": F.expr(f"CASE WHEN kind = 'secret' THEN regexp_extract(norm, {marks}, 1) WHEN kind = 'iban' THEN substring(norm, 1, 2) WHEN kind = 'card' THEN substring(norm, 1, 1) WHEN kind like 'phone%' THEN substring(norm, 1, {cc}) ELSE '' END"),
+    })
+    e = e.withColumns({"dh": F.expr(f"concat({digest('domain', 'domain')}, {digest('domain', 'domain+')})"), "text": F.expr("substring(norm, length(kept) + 1)"), "last": F.expr(r"CASE WHEN at > 0 THEN length(norm) - length(regexp_extract(domain, '\\.[^.]*$', 0)) ELSE length(norm) END")})
+
+    def pick(alphabet: str) -> str:
+        return f"substring('{alphabet}', x.b % {len(alphabet)} + 1, 1)"
+
+    byte = "cast(conv(substring(if(at > 0 AND i > at, dh, h), 2 * ((if(at > 0 AND i > at, i - at, i) - 1) % 128) + 1, 2), 16, 10) as int)"
+    letters = f"WHEN x.c rlike '[0-9]' THEN {pick('0123456789')} WHEN x.c rlike '[a-z]' THEN {pick(LOWER)} WHEN x.c rlike '[A-Z]' THEN {pick(UPPER)} WHEN x.c rlike '[а-я]' THEN {pick(CYR_LOWER)} WHEN x.c rlike '[А-Я]' THEN {pick(CYR_UPPER)} WHEN x.c rlike '\\\\p{{Lu}}' THEN {pick(UPPER)} WHEN x.c rlike '\\\\p{{L}}' THEN {pick(LOWER)}"
+    one = f"transform(array(named_struct('c', substring(text, i, 1), 'b', {byte})), x -> CASE WHEN i > last THEN x.c WHEN kind = 'hex' THEN CASE WHEN x.c rlike '[0-9a-f]' THEN {pick('0123456789abcdef')} ELSE x.c END {letters} ELSE x.c END)[0]"
+    mapped = f"concat(kept, array_join(transform(sequence(1, greatest(length(text), 1)), i -> {one}), ''))"
+    octets = ", '.', ".join(f"1 + (cast(conv(substring(h, {8 * i + 1}, 4), 16, 10) as int)) % 254" for i in range(4))
 
     def invented(script: str) -> str:
         table = "array(" + ", ".join(f"'{s}'" for s in SYLLABLES[script]) + ")"
-        return f"initcap(concat({', '.join(f'element_at({table}, {byte(str(i))} % {len(SYLLABLES[script])} + 1)' for i in range(1, 3 + attempt // 2))}, CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ENDINGS.items() if k.endswith(script)) + " END))"
+        part = f"element_at({table}, cast(conv(substring(h, 2 * i - 1, 2), 16, 10) as int) % {len(SYLLABLES[script])} + 1)"
+        return f"initcap(concat(array_join(transform(sequence(1, {3 + attempt // 2}), i -> {part}), ''), CASE kind " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in ENDINGS.items() if k.endswith(script)) + " END))"
 
-    e = e.withColumn("sur", F.expr(f"""CASE WHEN kind = 'email' THEN {email} WHEN kind = 'hex' THEN {mapped('norm', hexadecimal=True)}
-        WHEN kind = 'secret' THEN concat(regexp_extract(norm, '^(AKIA|ASIA|gh[a-z]_|sk-)', 1), {mapped("regexp_replace(norm, '^(AKIA|ASIA|gh[a-z]_|sk-)', '')")})
-        WHEN kind = 'ip' THEN concat({octets}) WHEN kind = 'iban' THEN concat(substring(norm, 1, 2), {mapped('substring(norm, 3)')})
-        WHEN kind = 'card' THEN {checked} WHEN kind like 'phone%' THEN {phone} WHEN kind = 'ssn' THEN {mapped('norm')}
-        WHEN kind like '%:c' THEN {invented('c')} ELSE {invented('l')} END"""))
-    return e.select("kind", "norm", "sur")
+    checked = f"transform(array({mapped}), y -> CASE WHEN kind <> 'card' OR ({luhn('substring(norm, 1, length(norm) - 1)')} + cast(right(norm, 1) as int)) % 10 <> 0 THEN y ELSE transform(array(substring(y, 1, length(y) - 1)), k -> concat(k, (10 - {luhn('k')} % 10) % 10))[0] END)[0]"
+    sur = f"CASE WHEN kind = 'ip' THEN concat({octets}) WHEN kind like '%:c' THEN {invented('c')} WHEN kind like '%:l' THEN {invented('l')} ELSE {checked} END"
+    return e.withColumn("sur", F.expr(sur)).select("kind", "norm", "sur")
 
 
 def assign(entities: DataFrame, key: str, most_rounds: int = 40) -> DataFrame:
     """(kind, norm, sur) for distinct entities: one to one within a family of kinds.
 
     In the first eight rounds no surrogate may be an entity's normal form; later rounds, which only a
-    crowded format needs, ask for distinctness alone (and never give an entity itself).  Invented names begin with two syllables and
+    crowded format needs, ask for distinctness alone (and never give an entity itself).  Invented names begin with three syllables and
     get one more every other round, so that they never run out."""
     family = F.substring_index("kind", ":", 1)
     entities = materialise(entities.distinct(), "pii-entities")
     real = entities.select(family.alias("f"), F.lower("norm").alias("s")).distinct()
-    taken, pending = None, entities
+    taken, pending, width = None, entities, int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for attempt in range(most_rounds):
-        new = drawn(pending, key, attempt).withColumn("f", family).withColumn("s", F.lower("sur")).where("s != lower(norm)")
+        # drawn in tasks of their own, however few bytes the entities are, and written, so that the joins do not draw again
+        some = materialise(drawn(pending.repartition(width, "kind", "norm"), key, attempt), "pii-drawn")
+        new = some.withColumn("f", family).withColumn("s", F.lower("sur")).where("s != lower(norm)")
         if attempt < 8:
             new = new.join(real, ["f", "s"], "left_anti")
         if taken is not None:
@@ -162,6 +153,7 @@ def assign(entities: DataFrame, key: str, most_rounds: int = 40) -> DataFrame:
         won = new.groupBy("f", "s").agg(F.min(F.struct("kind", "norm", "sur")).alias("w")).select("f", "s", "w.*")
         won = materialise(won, "pii-won")
         taken = won if taken is None else taken.unionByName(won)
+        drop_materialised(some)
         left = materialise(pending.join(won.select("kind", "norm"), ["kind", "norm"], "left_anti"), "pii-pending")
         if attempt:
             drop_materialised(pending)
@@ -210,7 +202,7 @@ def surrogates(docs: DataFrame, key: str = "surrogate-key", text_col: str = "tex
     lists = each.groupBy("__pii_row").agg(F.array_sort(F.collect_list(F.struct("p", "new", "kind"))).alias("__pii_new"), F.array_distinct(F.flatten(F.collect_list(parts))).alias("__pii_names"))
     back = some.join(lists, "__pii_row")
     # a name's parts are replaced where they stand without a title too, each place once: what has been put in is marked until the end
-    again = r"aggregate(filter(__pii_names, n -> length(n.part) > 2), x, (t, n) -> regexp_replace(t, concat('(?<![\\p{L}\\p{N}\ue000])', n.part, '(?![\\p{L}\\p{N}])'), concat('\ue000', n.sur)))"
+    again = r"aggregate(filter(__pii_names, n -> length(n.part) > 2), x, (t, n) -> if(not contains(t, n.part), t, regexp_replace(t, concat('(?<![\\p{L}\\p{N}\ue000])', n.part, '(?![\\p{L}\\p{N}])'), concat('\ue000', n.sur))))"
     pieces = F.split(text, ENTITY, -1)
     named = F.expr(f"transform(__pii_pieces, x -> CASE WHEN contains(x, '\ue000') THEN x ELSE replace({again}, '\ue000', '') END)")
     back = back.withColumn("__pii_pieces", pieces).withColumn("__pii_pieces", F.when(F.size("__pii_names") > 0, named).otherwise(F.col("__pii_pieces")))
