@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .fixpoint import semi_naive
 
 #: Allocation functions, and marks of special members in mangled names.
-HEAP = ["_Znwm", "_Znam", "malloc", "calloc", "realloc", "_ZnwmRKSt9nothrow_t"]
+HEAP = ["_Znwm", "_Znam", "malloc", "calloc", "realloc", "_ZnwPv"]
 CONSTRUCTORS, DESTRUCTORS = ["C1", "C2", "C3"], ["D0", "D1", "D2"]
 COPY, MOVE = "aSERKS_", "aSEOS_"
 DEBUG = "llvm.dbg."

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,10 +115,10 @@ def strict_config(texts: DataFrame, column: str = "value") -> DataFrame:
     return checked.withColumn("config", F.when(F.col("problem").isNotNull(), F.raise_error("problem")).otherwise(F.col("config")))
 
 
-def annotated(calls: DataFrame) -> DataFrame:
-    """(value, cat): of calls (callee, value, text), those that annotate a value as source, sink or sanitizer."""
+def annotated(calls: DataFrame, prefix: str = "") -> DataFrame:
+    """(value, cat): of calls (callee, value, text), those that annotate a value as source, sink or sanitizer (after a fixed prefix)."""
     kinds = ["llvm.var.annotation", "llvm.ptr.annotation", "llvm.global.annotations"]
-    cat = F.regexp_extract("text", r"^psr\.(source|sink|sanitizer)", 1)
+    cat = F.regexp_extract("text", f"^{re.escape(prefix)}(source|sink|sanitizer)", 1)
     return calls.where(F.regexp_extract("callee", r"^(llvm\.[a-z]+\.annotations?)", 1).isin(kinds)).select("value", cat.alias("cat")).where("cat <> ''")
 
 
