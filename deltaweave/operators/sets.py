@@ -26,7 +26,7 @@ def erase(a: Column, b: Column) -> Column:
 
 def power_set(a: Column) -> Column:
     """All subsets, by the bits of 0 to 2^n - 1; for sets of at most 30 elements."""
-    bits = F.sequence(F.lit(0).cast("long"), F.shiftleft(F.lit(1).cast("long"), F.size(a)) - 1)
+    bits = F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), F.size(a)) - 1)
     return F.transform(bits, lambda n: F.filter(a, lambda _, i: F.call_function("shiftright", n, i).bitwiseAND(F.lit(1)) == 1))
 
 
