@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import edge
-from .operators import alias, callgraph, cfg, exports, ide, ifds, mono, sets, store
+from .operators import alias, callgraph, cfg, constness, exports, ide, ifds, mono, sets, statistics, store
 from .plans.storage import stored
 from .queries import TRIPLES, TYPES, query, type_edges
 from .sources.relations import table, triples
@@ -107,9 +107,10 @@ def steps(i: DataFrame, edges: DataFrame) -> DataFrame:
     return same.unionByName(made).unionByName(arith)
 
 
-def without_calls(spark: SparkSession, normal: DataFrame) -> ide.Problem:
+def without_calls(spark: SparkSession, normal: DataFrame, fact: str = "long") -> ide.Problem:
     none = lambda s: spark.createDataFrame([], s)
-    return ide.Problem(none("f string, s long"), none("f string, x long"), normal, none("n long, f string, d long, e long"), none("n long, f string, x long, r long, d long, e long"), none("n long, r long, d long, e long"))
+    pair = f"d {fact}, e {fact}"
+    return ide.Problem(none("f string, s long"), none("f string, x long"), normal, none(f"n long, f string, {pair}"), none(f"n long, f string, x long, r long, {pair}"), none(f"n long, r long, {pair}"))
 
 
 @query(f"""WITH RECURSIVE {IR}, {EDGES}, {STEPS}, r(fn, pos, d, v) AS (SELECT fn, cast(1 AS BIGINT), cast(-1 AS BIGINT), cast(0 AS BIGINT) FROM ir WHERE pos = 1
@@ -323,3 +324,72 @@ def metric_counters(spark, d):
 def numeric_order(spark, d):
     s = table(spark, d, "supplier")
     return s.select(F.col("s_name").alias("id"), F.row_number().over(W.orderBy(*sets.numeric_order(F.col("s_name")))).alias("place"))
+
+
+COUNTED = """b AS (SELECT DISTINCT fn, (pos - 1) // 3 AS block FROM ir), be AS (SELECT DISTINCT fn, (src - 1) // 3 AS src, (dst - 1) // 3 AS dst FROM e WHERE (src - 1) // 3 <> (dst - 1) // 3),
+ i AS (SELECT *, CASE op WHEN 'const' THEN 'store' WHEN 'arith' THEN 'address' WHEN 'use' THEN 'call' ELSE 'return' END AS o, CASE ptr % 5 WHEN 0 THEN 'allocating' WHEN 1 THEN 'indirect' WHEN 2 THEN 'asm' WHEN 3 THEN 'memory' ELSE 'debug' END AS callee FROM ir),
+ u AS (SELECT p.fn, p.pos, q.pos - 1 >= ((p.pos - 1) // 3 + 1) * 3 AS outside FROM ir p JOIN ir q ON p.fn = q.fn AND q.pos IN (p.pos + 1, p.pos + 2) AND q.op = 'arith' AND q.y = p.x),
+ k AS (SELECT count(*) AS k, bool_or(outside) AS outside FROM u GROUP BY fn, pos), fu AS (SELECT o_orderstatus = 'O' AS external, o_orderstatus <> 'P' AS defined, o_orderkey % 3 = 0 AS address_taken FROM orders),
+ gl AS (SELECT p_size > 25 AS external, p_size > 5 AS defined, p_partkey % 2 = 0 AS constant FROM part)"""
+_COUNTS = {
+    "fu": {"functions": "*", "external_functions": "external", "function_definitions": "defined", "address_taken_functions": "address_taken"},
+    "gl": {"globals": "*", "external_globals": "external", "global_definitions": "defined", "global_constants": "constant"},
+    "b": {"basic_blocks": "*"},
+    "i": {"instructions": "*", "allocation_sites": "o = 'call' AND callee = 'allocating'", "non_void": "o NOT IN ('store', 'return')"}
+    | {n: f"o = '{op}'" for n, op in statistics.OPS.items()}
+    | {n: f"o = 'call' AND callee = '{kind}'" for n, kind in statistics.CALLS.items()},
+    "k": {"multiple_uses": "k > 1", "used_outside_block": "outside"},
+}
+_VALUES = {
+    "allocated_types": "SELECT count(DISTINCT c % 7) FROM i WHERE o = 'call' AND callee = 'allocating'", "total_operands": "SELECT sum(1 + ptr % 3) FROM i", "max_operands": "SELECT max(1 + ptr % 3) FROM i",
+    "total_uses": "SELECT sum(k) FROM k", "max_uses": "SELECT max(k) FROM k", "total_predecessors": "SELECT count(*) FROM be", "total_successors": "SELECT count(*) FROM be",
+    "max_predecessors": "SELECT max(n) FROM (SELECT count(*) AS n FROM be GROUP BY fn, dst)", "max_successors": "SELECT max(n) FROM (SELECT count(*) AS n FROM be GROUP BY fn, src)",
+}
+_ALL = _VALUES | {n: f"SELECT count({'*' if w == '*' else f'CASE WHEN {w} THEN 1 END'}) FROM {t}" for t, some in _COUNTS.items() for n, w in some.items()}
+
+
+@query(f"WITH {IR}, {LOOPED}, {COUNTED} " + " UNION ALL ".join(f"SELECT '{n}' AS counter, cast(coalesce(({q}), 0) AS BIGINT) AS value" for n, q in _ALL.items()))
+def module_counters(spark, d):
+    """All counters of a module; three instructions are a block, a later instruction that reads x uses the one that made it."""
+    i = stored(ir(spark, d).withColumn("block", F.struct("fn", F.expr("(pos - 1) div 3").alias("b"))))
+    edges = graph(i.drop("block"), loops=True).select(F.struct("fn", F.expr("(src - 1) div 3").alias("b")).alias("src"), F.struct("fn", F.expr("(dst - 1) div 3").alias("b")).alias("dst")).where("src <> dst").distinct()
+    callee = F.expr("CASE ptr % 5 WHEN 0 THEN 'allocating' WHEN 1 THEN 'indirect' WHEN 2 THEN 'asm' WHEN 3 THEN 'memory' ELSE 'debug' END")
+    op = F.expr("CASE op WHEN 'const' THEN 'store' WHEN 'arith' THEN 'address' WHEN 'use' THEN 'call' ELSE 'return' END")
+    some = i.select(op.alias("op"), callee.alias("callee"), F.col("op").isin("const", "ret").alias("void"), F.expr("1 + ptr % 3").alias("operands"), F.expr("CASE WHEN op = 'use' AND ptr % 5 = 0 THEN c % 7 END").alias("type"))
+    user = i.where("op = 'arith'").select("fn", F.col("pos").alias("user"), F.col("y").alias("x"), F.explode(F.expr("array(pos - 1, pos - 2)")).alias("pos"))
+    uses = i.join(user, ["fn", "pos", "x"]).select(node().alias("n"), F.expr("(user - 1) div 3 <> (pos - 1) div 3").alias("outside"))
+    functions = table(spark, d, "orders").selectExpr("o_orderstatus = 'O' as external", "o_orderstatus <> 'P' as defined", "o_orderkey % 3 = 0 as address_taken")
+    variables = table(spark, d, "part").selectExpr("p_size > 25 as external", "p_size > 5 as defined", "p_partkey % 2 = 0 as constant")
+    return statistics.module_counters(functions, variables, i.select("block").distinct(), edges, some, uses)
+
+
+@query(f"""WITH RECURSIVE {IR}, {LOOPED}, w AS (SELECT fn, pos, x FROM ir WHERE op IN ('const', 'arith')), r(fn, pos, x, k) AS (SELECT fn, cast(1 AS BIGINT), cast(-1 AS BIGINT), 0 FROM ir WHERE pos = 1
+ UNION SELECT e.fn, e.dst, z.x, z.k FROM r JOIN e ON e.fn = r.fn AND e.src = r.pos LEFT JOIN w ON w.fn = r.fn AND w.pos = r.pos, LATERAL (SELECT r.x AS x, r.k AS k UNION ALL SELECT w.x, 1 WHERE r.k = 0 AND w.x IS NOT NULL UNION ALL SELECT r.x, 2 WHERE r.k = 1 AND w.x = r.x) z)
+ SELECT DISTINCT fn, pos, cast(x AS VARCHAR) AS loc FROM r WHERE k = 2""")
+def mutated_memory(spark, d):
+    """IFDS: the variables that were assigned twice on some path to an instruction."""
+    i = stored(ir(spark, d))
+    edges = graph(i, loops=True).select(F.col("fn").alias("f"), F.expr("fn * 1000 + src").alias("n"), F.expr("fn * 1000 + dst").alias("m"))
+    stores = i.where("op in ('const', 'arith')").select(F.col("fn").alias("f"), node().alias("n"), F.col("x").alias("loc"))
+    seeds = i.where("pos = 1").select(node().alias("n"), F.lit(constness.ZERO).alias("d"))
+    found = constness.mutated(ifds.solve(without_calls(spark, stored(constness.flow(edges, stores)), "string"), seeds))
+    return found.select(F.expr("n div 1000").alias("fn"), F.expr("n % 1000").alias("pos"), "loc")
+
+
+@query()
+def targets_on_the_fly(spark, d):
+    """Calls through pointers: constants hold addresses of functions, which assignments, arguments and results pass on."""
+    i, known = stored(ir(spark, d)), table(spark, d, "orders").select(F.col("o_orderkey").alias("ptr"))
+    var = lambda fn, k: F.concat(F.col(fn).cast("string"), F.lit(":"), k.cast("string"))
+    address = F.concat(F.lit("&"), F.col("ptr").cast("string"))
+    taken = known.select(address.alias("value"), F.lit(None).cast("int").alias("slot"), F.col("ptr").alias("fn"))
+    held = i.where("op = 'const' and c % 5 = 0").join(known, "ptr", "left_semi").select(var("fn", F.col("x")).alias("a"), address.alias("b"))
+    moved = i.where("op = 'arith' and c % 5 = 0").select(var("fn", F.col("x")).alias("a"), var("fn", F.col("y")).alias("b"))
+    sites = i.where("op = 'use'")
+    calls = sites.select(node().alias("n"), var("fn", F.col("x")).alias("pointer"), F.lit(None).cast("int").alias("slot"))
+    actuals = sites.where("c % 5 = 1").select(node().alias("n"), F.lit(0).alias("place"), var("fn", F.col("y")).alias("value"))
+    results = sites.where("c % 5 = 2").select(node().alias("n"), var("fn", F.col("y")).alias("value"))
+    formals, returned = known.select(F.col("ptr").alias("fn"), F.lit(0).alias("place"), var("ptr", F.lit(0)).alias("value")), known.select(F.col("ptr").alias("fn"), var("ptr", F.lit(1)).alias("value"))
+    direct = sites.where("c % 5 = 3").join(known, "ptr", "left_semi").select(node().alias("n"), F.col("ptr").alias("fn"))
+    points = taken.select("value", F.col("value").alias("object"))
+    return callgraph.on_the_fly(calls, taken, points, held.unionByName(moved), direct, actuals, formals, results, returned)

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.storage import dropped, stored
+from .alias import alias_sets
 from .fixpoint import closure, semi_naive
 
 #: Fixed value: what stands for an empty slot of a virtual table.
@@ -61,6 +63,32 @@ def by_signature(calls: DataFrame, functions: DataFrame) -> DataFrame:
     return plain.unionByName(cut.join(open_, ["a", "begin"]).select("n", "fn")).distinct()
 
 
+def on_the_fly(calls: DataFrame, addresses: DataFrame, points_to: DataFrame, assigned: DataFrame, direct: DataFrame, actuals: DataFrame, formals: DataFrame, results: DataFrame, returned: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """(n, fn): direct calls (n, fn) and the targets of calls (n, pointer, slot) by alias sets, which call edges enlarge in turn.
+
+    addresses(value, slot, fn): what an alias set that holds `value` can be called as; slot is null for functions, and a place
+    in a virtual table for tables.  points_to(value, object) and assigned(a, b) give the first alias sets.  A call edge
+    aliases the actuals(n, place, value) with the callee's formals(fn, place, value), and results(n, value) with what it
+    returned(fn, value).  A round is one call of `alias_sets`; edges only grow, so equal counts end the rounds."""
+    none = F.coalesce("slot", F.lit(-1)).alias("slot")
+    calls, addresses = calls.select("n", "pointer", none), addresses.select("value", none, "fn")
+    edges = stored(direct.select("n", "fn").distinct())
+    known = edges.count()
+    for _ in range(max_rounds):
+        passed = edges.join(actuals.withColumnRenamed("value", "a"), "n").join(formals.withColumnRenamed("value", "b"), ["fn", "place"]).select("a", "b")
+        back = edges.join(results.withColumnRenamed("value", "a"), "n").join(returned.withColumnRenamed("value", "b"), "fn").select("a", "b")
+        own = calls.select(F.col("pointer").alias("a"), F.col("pointer").alias("b")).unionByName(addresses.select(F.col("value").alias("a"), F.col("value").alias("b")))
+        sets = stored(alias_sets(points_to, assigned.select("a", "b").unionByName(passed).unionByName(back).unionByName(own).distinct()))
+        held = addresses.join(sets, "value").select("rep", "slot", "fn").distinct()
+        found = calls.join(sets, calls.pointer == sets.value).select("n", "slot", "rep").join(held, ["rep", "slot"]).select("n", "fn")
+        new = stored(edges.unionByName(found).distinct())
+        dropped(sets, edges)
+        edges, before, known = new, known, new.count()
+        if known == before:
+            return edges
+    raise RuntimeError(f"call targets did not settle in {max_rounds} rounds")
+
+
 def build(entries: DataFrame, of: DataFrame, direct: DataFrame, resolve: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(call edges (n, fn), reached functions (fn)): from the entries (fn), through direct calls (n, fn) and what `resolve` gives for the
     indirect call sites of reached functions, given as (n).  of(n, owner) places call sites."""
