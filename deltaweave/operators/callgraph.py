@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.storage import dropped, stored
-from .alias import alias_sets
+from .alias import alias_sets, components
 from .fixpoint import closure, semi_naive
 
 #: Fixed value: what stands for an empty slot of a virtual table.
@@ -69,23 +69,28 @@ def on_the_fly(calls: DataFrame, addresses: DataFrame, points_to: DataFrame, ass
     addresses(value, slot, fn): what an alias set that holds `value` can be called as; slot is null for functions, and a place
     in a virtual table for tables.  points_to(value, object) and assigned(a, b) give the first alias sets.  A call edge
     aliases the actuals(n, place, value) with the callee's formals(fn, place, value), and results(n, value) with what it
-    returned(fn, value).  A round is one call of `alias_sets`; edges only grow, so equal counts end the rounds."""
+    returned(fn, value).  A round adds the links of the
+    new call edges to the alias sets so far; edges only grow, so a round without a new one is the last."""
     none = F.coalesce("slot", F.lit(-1)).alias("slot")
     calls, addresses = calls.select("n", "pointer", none), addresses.select("value", none, "fn")
-    edges = stored(direct.select("n", "fn").distinct())
-    known = edges.count()
+    edges = delta = stored(direct.select("n", "fn").distinct())
+    own = calls.select(F.col("pointer").alias("a"), F.col("pointer").alias("b")).unionByName(addresses.select(F.col("value").alias("a"), F.col("value").alias("b")))
+    sets = None
     for _ in range(max_rounds):
-        passed = edges.join(actuals.withColumnRenamed("value", "a"), "n").join(formals.withColumnRenamed("value", "b"), ["fn", "place"]).select("a", "b")
-        back = edges.join(results.withColumnRenamed("value", "a"), "n").join(returned.withColumnRenamed("value", "b"), "fn").select("a", "b")
-        own = calls.select(F.col("pointer").alias("a"), F.col("pointer").alias("b")).unionByName(addresses.select(F.col("value").alias("a"), F.col("value").alias("b")))
-        sets = stored(alias_sets(points_to, assigned.select("a", "b").unionByName(passed).unionByName(back).unionByName(own).distinct()))
+        passed = delta.join(actuals.withColumnRenamed("value", "a"), "n").join(formals.withColumnRenamed("value", "b"), ["fn", "place"]).select("a", "b")
+        back = delta.join(results.withColumnRenamed("value", "a"), "n").join(returned.withColumnRenamed("value", "b"), "fn").select("a", "b")
+        links, before = passed.unionByName(back), sets
+        if before is None:
+            sets = stored(alias_sets(points_to, assigned.select("a", "b").unionByName(links).unionByName(own).distinct()))
+        else:  # the sets so far stand for all earlier links
+            sets = stored(components(before.toDF("a", "b").unionByName(links)).toDF("value", "rep"))
+            dropped(before)
         held = addresses.join(sets, "value").select("rep", "slot", "fn").distinct()
-        found = calls.join(sets, calls.pointer == sets.value).select("n", "slot", "rep").join(held, ["rep", "slot"]).select("n", "fn")
-        new = stored(edges.unionByName(found).distinct())
-        dropped(sets, edges)
-        edges, before, known = new, known, new.count()
-        if known == before:
+        found = calls.join(sets, calls.pointer == sets.value).select("n", "slot", "rep").join(held, ["rep", "slot"]).select("n", "fn").distinct()
+        new = stored(found.join(edges, ["n", "fn"], "left_anti"))
+        if not new.take(1):
             return edges
+        edges, delta = edges.unionByName(new), new
     raise RuntimeError(f"call targets did not settle in {max_rounds} rounds")
 
 
