@@ -83,7 +83,7 @@ def on_the_fly(calls: DataFrame, addresses: DataFrame, points_to: DataFrame, ass
         if before is None:
             sets = stored(alias_sets(points_to, assigned.select("a", "b").unionByName(links).unionByName(own).distinct()))
         else:  # the sets so far stand for all earlier links
-            sets = stored(components(before.toDF("a", "b").unionByName(links)).toDF("value", "rep"))
+            sets = stored(merged(before, links))
             dropped(before)
         held = addresses.join(sets, "value").select("rep", "slot", "fn").distinct()
         found = calls.join(sets, calls.pointer == sets.value).select("n", "slot", "rep").join(held, ["rep", "slot"]).select("n", "fn").distinct()
@@ -94,6 +94,21 @@ def on_the_fly(calls: DataFrame, addresses: DataFrame, points_to: DataFrame, ass
     raise RuntimeError(f"call targets did not settle in {max_rounds} rounds")
 
 
+def merged(sets: DataFrame, links: DataFrame) -> DataFrame:
+    """sets (value, rep) after links (a, b) between values, which the sets need not hold yet: components are sought among the
+    representatives that a link joins, not among all values."""
+    own = links.select(F.col("a").alias("value")).unionByName(links.select(F.col("b").alias("value"))).distinct()
+    known = stored(own.join(sets, "value", "left").select("value", F.coalesce("rep", "value").alias("rep")))
+    ends = links.join(known.toDF("a", "ra"), "a").join(known.toDF("b", "rb"), "b").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
+    late = known.join(sets.select("value"), "value", "left_anti")
+    all_ = sets.unionByName(late)
+    moved = stored(ends)
+    if not moved.take(1):
+        return all_
+    roots = components(moved).toDF("rep", "root")
+    return all_.join(roots, "rep", "left").select("value", F.coalesce("root", "rep").alias("rep"))
+
+
 def build(entries: DataFrame, of: DataFrame, direct: DataFrame, resolve: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(call edges (n, fn), reached functions (fn)): from the entries (fn), through direct calls (n, fn) and what `resolve` gives for the
     indirect call sites of reached functions, given as (n).  of(n, owner) places call sites."""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.storage import stored
 from .relations import TAINT_SCHEMA
 
 #: Schemas of the program relations.
@@ -48,8 +49,8 @@ def adopt(spark: SparkSession, rows: dict[str, list]) -> dict[str, DataFrame]:
 
 def numbered(rows: DataFrame, order: list[str], column: str = "id", first: int = 0) -> DataFrame:
     """rows with dense ids in this order.  The rows are numbered within ranges, whose counts give the offsets; no single task sorts
-    them all."""
-    ranged = rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    them all.  The ranges are written once, as bounds drawn anew for the counts could be others."""
+    ranged = stored(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranges")
     counts = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     offsets = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))  # one row a partition
@@ -103,8 +104,8 @@ def type_graph(texts: DataFrame, column: str = "value") -> DataFrame:
 def checked_config(texts: DataFrame, column: str = "value") -> DataFrame:
     """(value, config, problem): taint configurations; `problem` names what is missing or malformed, else null."""
     parsed = texts.withColumn("config", F.from_json(column, TAINT_SCHEMA))
-    bad_function = F.exists(F.coalesce("config.functions", F.array().cast("array<struct<name:string>>")), lambda f: f["name"].isNull())
-    bad_kind = F.exists(F.coalesce("config.variables", F.array().cast("array<struct<cat:string>>")), lambda v: ~F.coalesce(v["cat"].isin("source", "sink", "sanitizer"), F.lit(False)))
+    bad_function = F.coalesce(F.exists("config.functions", lambda f: f["name"].isNull()), F.lit(False))
+    bad_kind = F.coalesce(F.exists("config.variables", lambda v: ~F.coalesce(v["cat"].isin("source", "sink", "sanitizer"), F.lit(False))), F.lit(False))
     problem = F.when(F.col("config.name").isNull() & F.col("config.version").isNull(), "not a configuration").when(F.col("config.name").isNull(), "no name").when(F.col("config.version").isNull(), "no version").when(bad_function, "function without name").when(bad_kind, "unknown category")
     return parsed.select(F.col(column).alias("value"), "config", problem.alias("problem"))
 
