@@ -28,6 +28,8 @@ PRETOKEN = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 LONG, HUGE = 48, 20_000
 #: Bytes of remembered words in each of two generations, and characters that are indexed at once, in a worker.
 MEMORY, BATCH_CHARS = 32 << 20, 1 << 16
+#: Bytes of text that reach a worker at once, by the session's setting; a batch's texts, words and ids are all held together.
+BATCH_BYTES = 4 << 20
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -445,13 +447,22 @@ def matcher(path: str) -> Matcher:
     return _matchers[path]
 
 
+def bounded_batches(df: DataFrame) -> None:
+    """Lower the session's Arrow batches to BATCH_BYTES (never raise them).  The setting counts when the result is computed, so it stays."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(name))
+    if now <= 0 or now > BATCH_BYTES:
+        conf.set(name, f"{BATCH_BYTES}b")
+
+
 def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None) -> DataFrame:
     """docs plus the array of ids; with check_col also whether decoding the ids gives the text back.
 
     Null and empty texts get an empty array.  Texts are encoded whole.  A literal U+2581 in a text is
     encoded like a space, as the model cannot tell them apart, and so is not given back.  Columns of the results' names
-    are replaced.  The model file is read on each executor.
+    are replaced.  The model file is read on each executor.  The session's Arrow batches are bounded by BATCH_BYTES from here on.
     """
+    bounded_batches(docs)
     docs = docs.drop(ids_col, *([check_col] if check_col else []))
 
     @F.pandas_udf("ids array<int>, same boolean")
@@ -473,7 +484,8 @@ def encode(docs: DataFrame, model: str = DEFAULT_MODEL, text_col: str = "text",
 
 
 def decode(encoded: DataFrame, model: str = DEFAULT_MODEL, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """encoded plus the text of its ids; null ids give null."""
+    """encoded plus the text of its ids; null ids give null.  Arrow batches are bounded as by encode."""
+    bounded_batches(encoded)
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = matcher(model)
