@@ -2,9 +2,9 @@
 
 The pre-tokens of a batch that are not yet known are concatenated and indexed by a suffix array (up to
 the longest piece); every piece of the vocabulary is found by binary search as a range of suffixes; the
-ranges become edges (start, end, piece), sorted by position, and relaxed: for a BPE model the best-ranked
-edge over two adjacent symbols is contracted until none is left, for a unigram model the best path is
-taken over the edges.  What no edge covers falls back to bytes or to <unk>.
+ranges become edges (start, end, piece), sorted by position (for short words into a table by start and length),
+and relaxed: for a BPE model the best-ranked edge over two adjacent symbols is contracted until none is left,
+for a unigram model the best path is taken over the edges.  What no edge covers falls back to bytes or to <unk>.
 
 Pieces never join text before a space to the space (checked when the model is read), so words are independent and each
 distinct word is matched once in a worker, whose memory of words is bounded in bytes.  A word of more than `HUGE` characters is
@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -92,27 +93,27 @@ class Vocabulary:
 class Matcher:
     def __init__(self, vocabulary: Vocabulary, memory: int = MEMORY, batch_chars: int = BATCH_CHARS):
         self.v, self.most, self.batch = vocabulary, memory, batch_chars
-        # word -> int32 ids as bytes; words of the older generation move over when they are met
+        # word without its first SPACE -> int32 ids as bytes; words of the older generation move over when they are met
         self.memo: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.used = 0
         codes = sorted({c for i in vocabulary.ids for c in vocabulary.pieces[i]})
-        self.symbol = {c: k + 1 for k, c in enumerate(codes)}  # 0: a character in no piece
+        self.symbol = np.zeros(0x110000, np.uint16)  # by code point; 0: a character in no piece
+        self.symbol[[ord(c) for c in codes]] = np.arange(1, len(codes) + 1)
         width = vocabulary.longest
         table = np.zeros((len(vocabulary.ids), width), np.uint16)
         self.length = np.array([len(vocabulary.pieces[i]) for i in vocabulary.ids])
         for row, i in enumerate(vocabulary.ids):
             p = vocabulary.pieces[i]
-            table[row, : len(p)] = [self.symbol[c] for c in p]
-        filled = np.arange(width) < self.length[:, None]
+            table[row, : len(p)] = [self.symbol[ord(c)] for c in p]
         self.plain = ["" if i in vocabulary.special else p for i, p in enumerate(vocabulary.pieces)]
         for b, i in vocabulary.bytes.items():
             self.plain[i] = chr(b)
         self.plain[vocabulary.unk] = " ⁇ "
         self.high_bytes = {i for b, i in vocabulary.bytes.items() if b > 127}
-        self.low = self.keys(table)
-        self.high = self.keys(np.where(filled, table, 65_024))
-        self.by_key = np.argsort(self.low)
+        low = self.keys(table)
+        self.by_key = np.argsort(low)
+        self.sorted_keys, self.table = low[self.by_key], table[self.by_key]
         self.rank = np.unique(vocabulary.scores, return_inverse=True)[1].astype(np.int32)
 
     @staticmethod
@@ -124,65 +125,105 @@ class Matcher:
         return np.ascontiguousarray(two).reshape(len(symbols), n).view(f"S{n}").ravel()
 
     def symbols(self, text: str) -> np.ndarray:
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        values, back = np.unique(points, return_inverse=True)
-        return np.array([self.symbol.get(chr(c), 0) for c in values], np.uint16)[back]
+        return self.symbol[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
 
     def occurrences(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where pieces occur in a text of symbols: starts and indices into the vocabulary's ids."""
         width, n = self.v.longest, len(symbols)
-        padded = np.concatenate([symbols, np.zeros(width, np.uint16)])
-        # suffix array up to `width` symbols by prefix doubling
-        four = padded.astype(np.uint64)
-        pair, step = sum(four[k : k + n] << np.uint64(16 * (3 - k)) for k in range(min(4, width))), 4
+        present = np.flatnonzero(np.bincount(symbols, minlength=2)[1:]) + 1
+        code = np.zeros(1 << 16, np.uint8 if len(present) < 256 else np.uint16)  # in the same order; 0: in no piece
+        code[present] = np.arange(1, len(present) + 1)
+        bits = len(present).bit_length() or 1
+        each = min(64 // bits, width)  # symbols in one number
+        needles = code[self.table]
+        rows = np.flatnonzero((needles > 0).sum(1) == self.length[self.by_key])  # pieces of symbols of this text
+        needles, length = needles[rows], self.length[self.by_key[rows]]
+        padded = np.concatenate([code[symbols], np.zeros(each, code.dtype)])
+
+        # suffix array up to `width` symbols by prefix doubling: of each level sorted numbers and their ranks
+        levels, step = [], each
+        pair = np.zeros(n, np.uint64)
+        for k in range(each):
+            pair = pair << np.uint64(bits) | padded[k : k + n]
         while True:
-            order = np.argsort(pair, kind="stable")
-            bounds = np.concatenate([[0], (np.diff(pair[order]) != 0).cumsum()]) if n else np.zeros(0, np.int64)
+            order = np.argsort(pair)
+            ordered = pair[order]
+            bounds = np.concatenate([[0], (ordered[1:] != ordered[:-1]).cumsum()]) if n else np.zeros(0, np.int64)
+            levels.append((ordered, bounds))
+            if step >= width:
+                break
             rank = np.empty(n, np.int64)
             rank[order] = bounds
-            if step >= width or (n and bounds[-1] == n - 1):
-                break
-            after = np.concatenate([rank[step:], np.full(min(step, n), -1)])[:n]
-            pair = rank * (n + 1) + after + 1
+            pair = rank * (n + 1)
+            pair[: max(n - step, 0)] += rank[step:] + 1
             step *= 2
-        suffixes = self.keys(np.lib.stride_tricks.sliding_window_view(padded, width)[:n][order])
-        first = np.searchsorted(suffixes, self.low, side="left")
-        last = np.searchsorted(suffixes, self.high, side="right")
+
+        def ranges(level: int, s: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Where suffixes that begin with the first k symbols of the rows of s lie in the order of that level."""
+            ordered, bounds = levels[level]
+            if not level:
+                low = np.zeros(len(s), np.uint64)
+                for c in range(each):
+                    low = low << np.uint64(bits) | (s[:, c] if c < s.shape[1] else np.uint64(0))
+                rest = np.uint64(bits) * (each - k).astype(np.uint64)
+                high = low | np.where(rest < 64, (np.uint64(1) << np.minimum(rest, np.uint64(63))) - np.uint64(1), np.uint64(0))
+                return np.searchsorted(ordered, low, side="left"), np.searchsorted(ordered, high, side="right")
+            half = each << (level - 1)
+            first, last = ranges(level - 1, s[:, :half], np.minimum(k, half))
+            more = np.flatnonzero((k > half) & (last > first))
+            last[k > half] = first[k > half]
+            if len(more):
+                inner = levels[level - 1][1]
+                a, b = ranges(level - 1, s[more, half:], k[more] - half)
+                there = b > a
+                more, a, b = more[there], a[there], b[there]
+                head = inner[first[more]] * (n + 1) + 1
+                first[more] = np.searchsorted(ordered, head + inner[a], side="left")
+                last[more] = np.searchsorted(ordered, head + inner[b - 1], side="right")
+            return first, last
+
+        first, last = ranges(len(levels) - 1, needles, length)
         found = last - first
         hit = np.flatnonzero(found > 0)
-        which = np.repeat(hit, found[hit])
+        which = np.repeat(self.by_key[rows[hit]], found[hit])
         within = np.arange(len(which)) - np.repeat(found[hit].cumsum() - found[hit], found[hit])
         return order[np.repeat(first[hit], found[hit]) + within], which
 
-    def edges(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The concatenated words' edges, sorted by (start, length): starts, lengths, piece ids; and the words' starts."""
+    def edges(self, words: list[str], ordered: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The concatenated words' edges, sorted by (start, length) if ordered: starts, lengths, piece ids; and the words' starts."""
         lengths = np.array([len(w) for w in words])
         starts = np.concatenate([[0], lengths.cumsum()])
         end = np.repeat(starts[1:], lengths)
         at, which = self.occurrences(self.symbols("".join(words)))
         inside = at + self.length[which] <= end[at]  # a piece does not reach into the next word
         at, which = at[inside], which[inside]
-        by = np.argsort(at * (self.v.longest + 1) + self.length[which], kind="stable")
-        at, which = at[by], which[by]
+        if ordered:
+            by = np.argsort(at * (self.v.longest + 1) + self.length[which])
+            at, which = at[by], which[by]
         return at, self.length[which], self.v.ids[which], starts
 
     def encode_words(self, words: list[str]) -> None:
         """Adds the ids of new words to the memory."""
-        if self.v.kind == "bpe":
-            long = [w for w in words if len(w) > LONG]
-            words = [w for w in words if len(w) <= LONG]
-            for w in long:
-                ids = self.relax_bpe_huge(w) if len(w) > HUGE else None
-                self.remember(w, self.relax_bpe_long(w, *self.edges([w])[:3]) if ids is None else ids)
-        if words:
-            at, length, piece, starts = self.edges(words)
-            relax = self.relax_bpe if self.v.kind == "bpe" else self.relax_unigram
-            for w, ids in zip(words, relax(words, at, length, piece, starts), strict=True):
-                self.remember(w, ids)
-
-    def remember(self, word: str, ids) -> None:
-        self.memo[word] = packed = ids if isinstance(ids, bytes) else np.array(ids, np.int32).tobytes()
-        self.used += 200 + 2 * len(word) + len(packed)
+        if self.v.kind != "bpe":
+            return self.remember(words, [np.array(i, np.int32).tobytes() for i in self.relax_unigram(words, *self.edges(words))])
+        short = sorted((w for w in words if len(w) <= LONG), key=len, reverse=True)
+        if short:
+            self.remember(short, self.relax_bpe(short, *self.edges(short, ordered=False)))
+        middle = []
+        for w in words:
+            if len(w) > HUGE and (ids := self.relax_bpe_huge(w)) is not None:
+                self.remember([w], [ids.tobytes()])
+            elif len(w) > LONG:
+                middle.append(w)
+        for part in portions(middle, self.batch):
+            at, length, piece, starts = self.edges(part)
+            cuts = np.searchsorted(at, starts).tolist()
+            for w, base, a, b in zip(part, starts.tolist(), cuts, cuts[1:], strict=False):
+                self.remember([w], [np.array(self.relax_bpe_long(w, at[a:b] - base, length[a:b], piece[a:b]), np.int32).tobytes()])
+
+    def remember(self, words: list[str], packed: list[bytes]) -> None:
+        self.memo.update(zip([w[1:] for w in words], packed, strict=True))
+        self.used += 200 * len(words) + 2 * sum(map(len, words)) + sum(map(len, packed))
 
     def relax_bpe_huge(self, word: str) -> np.ndarray | None:
         """The ids of a word that is too long for lists: all contractions of the best score at once, leftmost first where
@@ -195,7 +236,6 @@ class Matcher:
             mine = at < self.batch
             np.bitwise_or.at(lengths, a + at[mine], np.uint32(1) << self.length[which[mine]].astype(np.uint32))
         padded = np.lib.stride_tricks.sliding_window_view(np.concatenate([symbols, np.zeros(width, np.uint16)]), width)
-        sorted_keys = self.low[self.by_key]
 
         def pieces(s: np.ndarray, k: np.ndarray) -> np.ndarray:
             """Ids of the pieces of k symbols at s, -1 where there is none."""
@@ -203,7 +243,7 @@ class Matcher:
             for a in range(0, len(s), self.batch):
                 there = a + np.flatnonzero((k[a : a + self.batch] <= width) & (lengths[s[a : a + self.batch]] >> np.minimum(k[a : a + self.batch], 31).astype(np.uint32) & 1 > 0))
                 rows = np.where(np.arange(width) < k[there][:, None], padded[s[there]], 0)
-                out[there] = ids[self.by_key[np.searchsorted(sorted_keys, self.keys(rows))]]
+                out[there] = ids[self.by_key[np.searchsorted(self.sorted_keys, self.keys(rows))]]
             return out
 
         right, left = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
@@ -290,66 +330,52 @@ class Matcher:
         return [self.v.unk]
 
     def relax_bpe(self, words, at, length, piece, starts) -> list[bytes]:
+        """Words side by side, the longest first: in each round every word contracts its best edge, the leftmost among equals."""
         n, span = int(starts[-1]), self.v.longest + 1
+        sizes = np.diff(starts)
+        most = int(sizes[0])
         key = at * span + length
-        right = np.arange(1, n + 1)  # end of the symbol that begins here
-        left = np.arange(-1, n - 1)  # start of the symbol before it
-        word = np.repeat(np.arange(len(words)), np.diff(starts))
-        last = starts[1:][word] if n else np.zeros(0, np.int64)
-        begin = starts[:-1][word] if n else np.zeros(0, np.int64)
-        score = self.v.scores[piece]
+        pieces = np.full(n * span, -1, np.int32)
+        pieces[key] = piece
+        worth = np.full(n * span, -1, np.int32 if len(self.rank) * most < 1 << 31 else np.int64)  # rank of the score, then place in the word from the right
+        worth[key] = self.rank[piece] * np.int64(most) + (np.repeat(starts[:-1] + most - 1, sizes) - np.arange(n))[at]
+        right = np.arange(1, n + 2)  # end of the symbol that begins here
+        right[n] = n + span  # behind the text nothing fits
+        left = np.arange(-1, n)  # start of the symbol before it
+        left[0] = 0
 
         def value(s: np.ndarray) -> np.ndarray:
-            """Score of contracting the symbol at s with the next one; -inf if no edge covers both."""
-            out = np.full(len(s), -np.inf)
-            ok = np.flatnonzero(right[s] < last[s])
-            e = right[right[s[ok]]]
-            fits = e - s[ok] < span
-            ok, e = ok[fits], e[fits]
-            k = s[ok] * span + (e - s[ok])
-            p = np.searchsorted(key, k)
-            p[p == len(key)] = 0
-            good = (key[p] == k) if len(key) else np.zeros(len(k), bool)
-            out[ok[good]] = score[p[good]]
-            return out
+            """Worth of contracting the symbol at s with the next one; -1 if no edge covers both (none crosses words)."""
+            k = right[right[s]] - s
+            k[k >= span] = 0
+            return worth[s * span + k]
 
         final = np.ones(n, bool)  # where a symbol begins
-        live = np.arange(n)
-        gain = value(live) if n else np.zeros(0)
-        open_ = np.flatnonzero(gain > -np.inf)
-        full = np.full(n, -np.inf)
-        full[open_] = gain[open_]
-        while True:
-            live = np.flatnonzero(full > -np.inf)
-            if not len(live):
+        full = value(np.arange(n))
+        for done in range(1, most):
+            active = int(np.searchsorted(-sizes, -done))  # words of more symbols than rounds done
+            best = np.maximum.reduceat(full[: int(starts[active])], starts[:active])
+            w = np.flatnonzero(best >= 0)
+            if not len(w):
                 break
-            # the best of each word, the leftmost among equals
-            w = word[live]
-            order = np.lexsort((live, -full[live], w))
-            w = w[order]
-            head = np.concatenate([[True], w[1:] != w[:-1]])
-            s = live[order][head]
+            s = starts[w] + (most - 1 - best[w] % most)
             mid = right[s]
             e = right[mid]
             right[s] = e
-            full[mid] = -np.inf
+            left[e] = s
+            full[mid] = -1
             final[mid] = False
-            inside = e < last[s]
-            left[e[inside]] = s[inside]
             full[s] = value(s)
-            before = s[s > begin[s]]
-            before = left[before]
+            before = left[s]
             full[before] = value(before)
         # one lookup for all final symbols
         f = np.flatnonzero(final)
-        k = f * span + (right[f] - f)
-        p = np.searchsorted(key, k)
-        p[p == len(key)] = 0
-        got = np.where(key[p] == k, piece[p], -1).astype(np.int32) if len(key) else np.full(len(f), -1, np.int32)
+        got = pieces[f * span + (right[f] - f)]
         bounds = np.searchsorted(f, starts).tolist()
         packed = got.tobytes()
         out = [packed[4 * a : 4 * b] for a, b in zip(bounds, bounds[1:], strict=False)]
-        for i in np.unique(word[f[got < 0]]).tolist():  # characters in no piece
+        none = f[got < 0]
+        for i in np.unique(np.searchsorted(starts, none, side="right") - 1).tolist():  # characters in no piece
             a, b = bounds[i], bounds[i + 1]
             own = [x for j, v in zip(f[a:b].tolist(), got[a:b].tolist(), strict=True) for x in ([v] if v >= 0 else self.fallback(words[i][j - int(starts[i])]))]
             out[i] = np.array(own, np.int32).tobytes()
@@ -378,24 +404,30 @@ class Matcher:
             out.append([i for p in reversed(parts) for i in p])
         return out
 
+    def words(self, text: str | None) -> list[str]:
+        """The pre-tokens of a text, each without the SPACE it begins with."""
+        if not text:
+            return []
+        if not self.v.by_word:
+            return [text.replace(" ", SPACE)]
+        parts = text.split(" ")
+        if "" in parts or SPACE in text:  # runs of spaces
+            parts = [p[1:] for p in PRETOKEN.findall(SPACE + text.replace(" ", SPACE))]
+        return parts
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of whole texts; null and empty texts have none."""
         if self.used > self.most:
             self.old, self.memo, self.used = self.memo, {}, 0
-        cut = PRETOKEN.findall if self.v.by_word else (lambda t: [t])
-        split = [cut(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        memo, old, new, block, size = self.memo, self.old, {}, [], 0
-        for parts in split:
-            for w in parts:
-                if w not in memo and w not in new:
-                    if w in old:
-                        memo[w] = old[w]
-                        self.used += 200 + 2 * len(w) + len(old[w])
-                    else:
-                        new[w] = None
-        for w in new:
-            block.append(w)
-            size += len(w)
+        split = [self.words(t) for t in texts]
+        memo, old, block, size = self.memo, self.old, [], 0
+        for w in [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in memo]:
+            if (known := old.get(w)) is not None:
+                memo[w] = known
+                self.used += 200 + 2 * len(w) + len(known)
+                continue
+            block.append(SPACE + w)
+            size += len(w) + 1
             if size >= self.batch:
                 self.encode_words(block)
                 block, size = [], 0

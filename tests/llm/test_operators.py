@@ -361,6 +361,31 @@ print(len(ids), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
     assert int(out[0]) > 1_000_000 and int(out[1]) < 600, out
 
 
+def test_spm_new_words_are_cheap():
+    """CPU of a batch of new words, in sorts of as many numbers as it has characters; long words are indexed together."""
+    import time
+
+    import sentencepiece
+
+    rng = np.random.default_rng(8)
+    word = lambda n: "".join(rng.choice(list("etaoinshrdluéè"), n))
+    numbers = rng.integers(0, 1 << 62, spm.BATCH_CHARS)
+    m = spm.Matcher(spm.Vocabulary.read(spm.DEFAULT_MODEL))
+
+    def seconds(f, *args, **more) -> float:
+        began = time.process_time()
+        f(*args, **more)
+        return time.process_time() - began
+
+    took = [seconds(m.encode, [" ".join(word(11) for _ in range(5400))]) / seconds(np.argsort, numbers, kind="stable") for _ in range(7)]
+    assert np.median(took) < 15, took
+    calls, plain = [], m.occurrences
+    m.occurrences = lambda s: calls.append(len(s)) or plain(s)
+    text = " ".join(word(n) for n in range(spm.LONG, spm.LONG + 100))
+    assert m.encode([text])[0].tolist() == sentencepiece.SentencePieceProcessor(model_file=spm.DEFAULT_MODEL).encode(text)
+    assert len(calls) <= 3, calls
+
+
 def test_spm_model_with_another_normaliser_is_an_error(tmp_path):
     with open(spm.DEFAULT_MODEL, "rb") as f:
         whole = f.read()
