@@ -158,37 +158,38 @@ class Matcher:
             pair[: max(n - step, 0)] += rank[step:] + 1
             step *= 2
 
-        def ranges(level: int, s: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Where suffixes that begin with the first k symbols of the rows of s lie in the order of that level."""
-            ordered, bounds = levels[level]
-            if not level:
-                low = np.zeros(len(s), np.uint64)
-                for c in range(each):
-                    low = low << np.uint64(bits) | (s[:, c] if c < s.shape[1] else np.uint64(0))
-                rest = np.uint64(bits) * (each - k).astype(np.uint64)
-                high = low | np.where(rest < 64, (np.uint64(1) << np.minimum(rest, np.uint64(63))) - np.uint64(1), np.uint64(0))
-                return np.searchsorted(ordered, low, side="left"), np.searchsorted(ordered, high, side="right")
-            half = each << (level - 1)
-            first, last = ranges(level - 1, s[:, :half], np.minimum(k, half))
-            more = np.flatnonzero((k > half) & (last > first))
-            last[k > half] = first[k > half]
-            if len(more):
-                inner = levels[level - 1][1]
-                a, b = ranges(level - 1, s[more, half:], k[more] - half)
-                there = b > a
-                more, a, b = more[there], a[there], b[there]
-                head = inner[first[more]] * (n + 1) + 1
-                first[more] = np.searchsorted(ordered, head + inner[a], side="left")
-                last[more] = np.searchsorted(ordered, head + inner[b - 1], side="right")
-            return first, last
-
-        first, last = ranges(len(levels) - 1, needles, length)
+        first, last = self.ranges(levels, each, bits, needles, length)
         found = last - first
         hit = np.flatnonzero(found > 0)
         which = np.repeat(self.by_key[rows[hit]], found[hit])
         within = np.arange(len(which)) - np.repeat(found[hit].cumsum() - found[hit], found[hit])
         return order[np.repeat(first[hit], found[hit]) + within], which
 
+    def ranges(self, levels: list, each: int, bits: int, s: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where suffixes that begin with the first k symbols of the rows of s lie in the order of the last level.  (A method, as a
+        recursive closure would keep the levels until the garbage collector comes.)"""
+        ordered = levels[-1][0]
+        if len(levels) == 1:
+            low = np.zeros(len(s), np.uint64)
+            for c in range(each):
+                low = low << np.uint64(bits) | (s[:, c] if c < s.shape[1] else np.uint64(0))
+            rest = np.uint64(bits) * (each - k).astype(np.uint64)
+            high = low | np.where(rest < 64, (np.uint64(1) << np.minimum(rest, np.uint64(63))) - np.uint64(1), np.uint64(0))
+            return np.searchsorted(ordered, low, side="left"), np.searchsorted(ordered, high, side="right")
+        half, below = each << (len(levels) - 2), levels[:-1]
+        first, last = self.ranges(below, each, bits, s[:, :half], np.minimum(k, half))
+        more = np.flatnonzero((k > half) & (last > first))
+        last[k > half] = first[k > half]
+        if len(more):
+            inner = below[-1][1]
+            a, b = self.ranges(below, each, bits, s[more, half:], k[more] - half)
+            there = b > a
+            more, a, b = more[there], a[there], b[there]
+            head = inner[first[more]] * (len(ordered) + 1) + 1
+            first[more] = np.searchsorted(ordered, head + inner[a], side="left")
+            last[more] = np.searchsorted(ordered, head + inner[b - 1], side="right")
+        return first, last
+
     def edges(self, words: list[str], ordered: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The concatenated words' edges, sorted by (start, length) if ordered: starts, lengths, piece ids; and the words' starts."""
         lengths = np.array([len(w) for w in words])
