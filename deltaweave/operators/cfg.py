@@ -29,6 +29,11 @@ def edges(instructions: DataFrame, branches: DataFrame) -> DataFrame:
     return falls.select("fn", "src", "dst", F.lit("fall").alias("kind")).unionByName(branches.select("fn", "src", "dst", F.lit("branch").alias("kind"))).distinct()
 
 
+def successors(*targets: Column) -> Column:
+    """The `to` of a node for operators.within: its targets without nulls, each once."""
+    return F.array_distinct(F.array_compact(F.array(*targets)))
+
+
 def backward(edges: DataFrame) -> DataFrame:
     return edges.select("fn", F.col("dst").alias("src"), F.col("src").alias("dst"), "kind")
 
