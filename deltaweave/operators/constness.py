@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .within import facts
+
 #: Facts: zero; a location was stored to once on some path; it was stored to again.
 ZERO, INITIALISED, MUTATED = "", "i:", "m:"
 
@@ -29,3 +31,14 @@ def flow(edges: DataFrame, stores: DataFrame, classes: DataFrame | None = None)
 def mutated(path_edges: DataFrame) -> DataFrame:
     """(n, loc): the locations that may be mutated before n, from IFDS path edges (n, d2)."""
     return path_edges.where(F.col("d2").startswith(MUTATED)).select("n", F.expr(f"substring(d2, {len(MUTATED) + 1})").alias("loc")).distinct()
+
+
+def within(rows: DataFrame, key: str, carry: list[str], loc: str) -> DataFrame:
+    """carry and loc: the locations that may be mutated before each node of a function.  rows: nodes for operators.within with `entry`
+    (boolean) and the location that they store to, if any."""
+    at = F.col(loc).cast("string")
+    first, again = F.concat(F.lit(INITIALISED), at), F.concat(F.lit(MUTATED), at)
+    pair = lambda d, e: F.struct(d.alias("d"), e.alias("e"))
+    give = F.when(at.isNotNull(), F.array(pair(F.lit(ZERO), first), pair(first, again)))
+    found = facts(rows.withColumns({"seed": F.when(F.col("entry"), F.array(F.lit(ZERO))), "give": give, "kill": F.array().cast("array<string>")}), key, carry)
+    return found.where(F.col("d").startswith(MUTATED)).select(*carry, F.expr(f"substring(d, {len(MUTATED) + 1})").alias("loc"))
