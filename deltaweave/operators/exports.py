@@ -10,8 +10,13 @@ from .sets import numeric_order
 
 def results_json(results: DataFrame) -> DataFrame:
     """One row for each node: results (fn, n, d, v) as `{"fn::n": {"Facts": [...]}}`, facts sorted."""
-    facts = F.sort_array(F.collect_list(F.struct(F.col("d").cast("string").alias("d"), F.col("v").cast("string").alias("v"))))
-    grouped = results.groupBy("fn", "n").agg(facts.alias("Facts"))
+    return facts_json(results.groupBy("fn", "n").agg(F.collect_list(F.struct("d", "v")).alias("facts")))
+
+
+def facts_json(results: DataFrame) -> DataFrame:
+    """results_json of results (fn, n, facts) that are an array (d, v) for each node already."""
+    facts = F.array_sort(F.transform("facts", lambda f: F.struct(f["d"].cast("string").alias("d"), f["v"].cast("string").alias("v"))))
+    grouped = results.select("fn", "n", facts.alias("Facts"))
     return grouped.select("fn", "n", F.to_json(F.create_map(F.concat_ws("::", F.col("fn").cast("string"), F.col("n").cast("string")), F.struct("Facts"))).alias("json"))
 
 
