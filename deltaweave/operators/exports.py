@@ -53,14 +53,17 @@ def vtable_json(tables: DataFrame, null: str = "__null__") -> DataFrame:
     return tables.groupBy("type").agg(F.to_json(slots).alias("json"))
 
 
-def esg_statistics(jumps: DataFrame, calls: DataFrame) -> DataFrame:
+def esg_statistics(jumps: DataFrame, calls: DataFrame | None = None) -> DataFrame:
     """One row about jump functions (s, d1, n, d2, ef): path edges, distinct facts, generated facts (not there at their start), facts
-    at call sites (n), contexts, edge functions and different ones."""
-    at_call = jumps.join(calls.select("n").distinct(), "n", "left_semi")
+    at call sites, contexts, edge functions and different ones.  Call sites are `calls` (n) or marked by jumps.at_call.  A context is
+    counted by the path edge from its start to itself, which each begins with."""
+    if calls is not None:
+        jumps = jumps.join(calls.select("n").distinct().withColumn("at_call", F.lit(True)), "n", "left")
+    own = (F.col("s") == F.col("n")) & F.col("d1").eqNullSafe(F.col("d2"))
     return jumps.agg(
         F.count("*").alias("path_edges"), F.count_distinct("d2").alias("facts"), F.count_if(F.col("d1") != F.col("d2")).alias("generated"),
-        F.count_distinct("s", "d1").alias("contexts"), F.count("ef").alias("edge_functions"), F.count_distinct("ef").alias("different_edge_functions"),
-    ).crossJoin(F.broadcast(at_call.agg(F.count("*").alias("at_calls"))))
+        F.count_if(own).alias("contexts"), F.count("ef").alias("edge_functions"), F.count_distinct("ef").alias("different_edge_functions"), F.count_if("at_call").alias("at_calls"),
+    )
 
 
 def counters(metrics: DataFrame) -> DataFrame:
