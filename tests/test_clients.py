@@ -73,3 +73,15 @@ def test_targets_by_alias_sets_against_brute_force(spark):
     assert {tuple(r) for r in first.collect()} == want and first.count() == len(want) > 20
     alone = frames | {k: frames[k].where(F.lit(False)) for k in ("actuals", "results", "assigned", "points_to")}
     assert {tuple(r) for r in callgraph.on_the_fly(**alone).collect()} == {(100, 1), (101, 2)}
+
+
+def test_signatures_join_by_blocks_and_give_every_pair(spark):
+    """A variadic function of a repeated row counts twice, as in SQL; blocks of three rows give what one block gives."""
+    sigs = ["", "a", "a,b", "a,b,c"]
+    calls = [(n, n % 4, sigs[n % 4]) for n in [*range(20), 3, 3]]
+    functions = [(f, f % 3, f % 2 == 0, sigs[f % 3]) for f in [*range(15), 4]]
+    frames = spark.createDataFrame(calls, "n int, arity int, sig string"), spark.createDataFrame(functions, "fn int, arity int, vararg boolean, sig string")
+    fits = lambda a, s, b, vararg, t: (a, s) == (b, t) if not vararg else b <= a and (b == 0 or s == t or s.startswith(t + ","))
+    want = sorted((n, f) for n, a, s in calls for f, b, vararg, t in functions if fits(a, s, b, vararg, t))
+    assert sorted(tuple(r) for r in callgraph.by_signature(*frames, block=3).collect()) == want
+    assert sorted(tuple(r) for r in callgraph.by_signature(*frames).collect()) == want
