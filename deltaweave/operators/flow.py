@@ -4,6 +4,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +93,18 @@ def along_call_site(facts: DataFrame, args: DataFrame, pass_arg: Column | None =
     return held.where(keep).select(*facts.columns).distinct()
 
 
+def along_call_sites(calls: DataFrame, facts: Column, args: Column, pass_arg: Callable[[Column], Column] | None = None, globals_pass: bool = True) -> DataFrame:
+    """(n, d, is_global): along_call_site for calls (n, ...), one row each, whose facts (d, is_global) and args (argno, value) are arrays: no
+    join, and no row is compared with those of other calls."""
+    fine = pass_arg or (lambda a: F.lit(True))
+
+    def keep(h: Column) -> Column:
+        mine = F.filter(args, lambda a: a["value"] == h["d"])
+        return F.when(h["d"] == ZERO, True).when(h["is_global"], globals_pass).otherwise((F.size(mine) == 0) | F.exists(mine, fine))
+
+    return calls.select("n", F.inline(F.array_distinct(F.filter(facts, keep)))).select("n", "d", "is_global")
+
+
 def to_callee(facts: DataFrame, args: DataFrame, params: DataFrame, callees: DataFrame) -> DataFrame:
     """(n, fn, d): facts at calls as the callee sees them.  callees(n, fn, is_decl, is_vararg); args(n, argno, value, is_sret); params(fn, argno,
     value).  Declarations get nothing; zero and globals pass; an actual becomes its formal, but for structure-return pairs; actuals beyond the
@@ -103,6 +117,27 @@ def to_callee(facts: DataFrame, args: DataFrame, params: DataFrame, callees: Dat
     return same.unionByName(mapped).distinct()
 
 
+def formals(params: DataFrame) -> DataFrame:
+    """(fn, formals): the params (fn, argno, value) of each function as an array."""
+    return params.groupBy("fn").agg(F.collect_list(F.struct("argno", "value")).alias("formals"))
+
+
+def to_callees(calls: DataFrame, facts: Column, args: Column, formals: DataFrame) -> DataFrame:
+    """(n, fn, d): to_callee for different pairs of call and callee, calls (n, fn, is_decl, is_vararg, ...), whose facts (d, is_global) and args
+    (argno, value, is_sret) are arrays.  The arrays are made after the join with formals (fn, formals), the only one."""
+    rest = F.when(F.col("is_vararg"), F.lit("va_list"))
+
+    def formal(a: Column) -> Column:
+        mine = F.filter("formals", lambda p: p["argno"] == a["argno"])
+        return F.when(F.size(mine) > 0, F.transform(mine, lambda p: F.coalesce(p["value"], rest))).otherwise(F.array(rest))
+
+    same = F.transform(F.filter(facts, lambda h: (h["d"] == ZERO) | h["is_global"]), lambda h: h["d"])
+    passed = F.flatten(F.transform(facts, lambda h: F.filter(args, lambda a: (a["value"] == h["d"]) & ~a["is_sret"])))
+    mapped = F.array_compact(F.flatten(F.transform(passed, formal)))
+    known = calls.where("not is_decl").join(formals, "fn", "left")
+    return known.select("n", "fn", F.explode(F.array_distinct(F.concat(same, mapped))).alias("d"))
+
+
 def to_caller(facts: DataFrame, args: DataFrame, params: DataFrame, callees: DataFrame, returned: DataFrame) -> DataFrame:
     """(n, fn, d): facts (fn, d, is_global) at a function's end as its callers n see them: formals that are pointers (params.is_pointer)
     become actuals, returned values (fn, d) the call itself, `call:n`; zero and globals pass."""

@@ -1,6 +1,6 @@
 import random
 
-from deltaweave.operators import callgraph, constness, ide, ifds, statistics
+from deltaweave.operators import callgraph, constness, flow, ide, ifds, statistics
 from pyspark.sql import functions as F
 
 
@@ -85,3 +85,22 @@ def test_signatures_join_by_blocks_and_give_every_pair(spark):
     want = sorted((n, f) for n, a, s in calls for f, b, vararg, t in functions if fits(a, s, b, vararg, t))
     assert sorted(tuple(r) for r in callgraph.by_signature(*frames, block=3).collect()) == want
     assert sorted(tuple(r) for r in callgraph.by_signature(*frames).collect()) == want
+
+
+def test_facts_at_calls_as_arrays_equal_the_relations(spark):
+    """Flows over the arrays of a call, against those over relations; nothing is joined by call or made distinct over calls."""
+    pick = random.Random(4)
+    v = lambda: pick.choice(["a", "b", "c", None])
+    rows = [(n, n % 6, n % 5 == 0, n % 2 == 0, [(flow.ZERO, False), ("g", True), ("a", False), ("b", pick.random() < 0.3)], [(k, v(), pick.choice([True, False, None])) for k in range(4)]) for n in range(60)]
+    calls = spark.createDataFrame(rows, "n int, fn int, is_decl boolean, is_vararg boolean, facts array<struct<d:string,is_global:boolean>>, args array<struct<argno:int,value:string,is_sret:boolean>>")
+    params = spark.createDataFrame([(f, k, None if (f, k) == (2, 1) else f"{f}_{k}") for f in range(5) for k in range(f)] + [(4, 1, "other")], "fn int, argno int, value string")
+    held, args = calls.select("n", F.inline("facts")), calls.select("n", F.inline("args"))
+    rowset = lambda df: sorted(map(tuple, df.collect()))
+    for globals_pass in (True, False):
+        found = flow.along_call_sites(calls, F.col("facts"), F.col("args"), lambda a: a["argno"] == 0, globals_pass)
+        assert rowset(found) == rowset(flow.along_call_site(held, args, F.col("argno") == 0, globals_pass))
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    found = flow.to_callees(calls, F.col("facts"), F.col("args"), F.broadcast(flow.formals(params)))
+    assert rowset(found) == rowset(flow.to_callee(held, args, params, calls))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "keys=[n#" not in plan
